@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .packing import pack, token_pieces, word_tokens
 from .sharding import shard
 
 
@@ -18,11 +19,22 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_pieces(_table(spark, sf_dir, "documents"), word_tokens(tokenizer_path()), length=4096, end_id=1, digest=True)
+    return pack(pieces, capacity=4096)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_sharding, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op6_sharding, op7_best_fit_packing, op8_exact_dedup)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""
