@@ -68,13 +68,14 @@ def fingerprints(texts: pa.Array, base: int, modulus: int, chunk: int = 1 << 16)
     return out
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", moduli: tuple[int, int] = MODULI, chunk_chars: int = 1 << 18) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", moduli: tuple[int, int] = MODULI, chunk_chars: int = 1 << 18, most_broadcast: int = 1 << 20) -> DataFrame:
     """One row a document: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are so without the six ASCII white-space characters.
     Of equal texts the one with the most code points stays, then the one with the
     smallest id. Two 31-bit polynomial hashes and the length are the fingerprint.
-    Only texts whose fingerprint occurs again are shuffled, in chunks: sorted by
+    Only texts whose fingerprint occurs again are shuffled (if there are over
+    ``most_broadcast`` such fingerprints, all texts are, once), in chunks: sorted by
     fingerprint and chunk, each chunk streams past the first text's chunk. A text
     that differs from it anywhere is set apart and compared again, until all are
     equal; so no collision joins two texts. Hot fingerprints are spread by a salt
@@ -90,14 +91,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.StructArray.from_arrays([pa.array(fingerprints(texts, b, m)) for b, m in zip(BASES, moduli)], names=["a", "b"])
 
     plain = F.translate(F.coalesce(F.col(text_col), F.lit("")), " \t\n\x0b\x0c\r", "")
-    source = docs.select(F.col(id_col).alias("id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("chars"), plain.alias("plain"))
+    source = docs.select(F.col(id_col).alias("id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("chars"), plain.alias("plain")).withColumn("place", F.xxhash64("plain"))
     hashed = source.withColumn("sha", F.sha2("plain", 256)).withColumn("fp", fingerprint("plain"))
-    flat = [F.col("fp.a").alias("fa"), F.col("fp.b").alias("fb"), F.octet_length("plain").cast("long").alias("bytes")]
-    rows = written(hashed.select("id", "chars", "sha", *flat), "fingerprints")
-    total = rows.count()
     key = ["fa", "fb", "bytes"]
-    again = rows.groupBy(*key).count().filter("count > 1")
-    apart = _differing(hashed.select("id", "sha", "plain", *flat), again, key, total, chunk_chars)
+    rows = written(hashed.select("id", "chars", "sha", "place", F.col("fp.a").alias("fa"), F.col("fp.b").alias("fb"), F.octet_length("plain").cast("long").alias("bytes")), "fingerprints")
+    total = rows.count()
+    again = rows.groupBy(*key, "place").count()
+    again = written(again.withColumn("of", F.sum("count").over(Window.partitionBy(*key))).filter("of > 1").drop("count"), "again")
+    # texts that occur once stay where they are, while the fingerprints of the others fit a broadcast
+    few = again.count() <= most_broadcast
+    suspects = written(source.drop("chars").join(F.broadcast(again) if few else again, "place").drop("place").withColumn("sha", F.sha2("plain", 256)), "suspects")
+    apart = _differing(suspects, key, total, chunk_chars)
     rows = rows.withColumn("class", F.lit(0)) if apart is None else rows.join(apart, [*key, "id", "sha"], "left").withColumn("class", F.coalesce("class", F.lit(0)))
     key = [*key, "class"]
     best = F.max_by("id", F.struct("chars", F.col("id").isNull(), -F.col("id")))
@@ -116,11 +120,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return kept.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
-def _differing(hashed: DataFrame, again: DataFrame, key: list[str], total: int, chunk_chars: int) -> DataFrame | None:
+def _differing(suspects: DataFrame, key: list[str], total: int, chunk_chars: int) -> DataFrame | None:
     """(key, id, sha, class) of the texts that differ from the first of their
     fingerprint, class counting up from 1; None if there are none."""
-    salts = F.least(F.lit(1024), F.ceil(F.col("count") / max(total // 1000, 500))).cast("int")
-    suspects = hashed.join(again.withColumn("salts", salts).drop("count"), key)
+    salts = F.least(F.lit(1024), F.ceil(F.col("of") / max(total // 1000, 500))).cast("int")
+    suspects = suspects.withColumn("salts", salts).drop("of")
     found, number = None, 0
     while True:
         salted = suspects.withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("id", "sha"), F.col("salts"))).otherwise(0).cast("int"))
