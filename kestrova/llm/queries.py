@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .jaccard_join import linked
 from .langid import identify, train
 from .packing import pack, token_pieces, word_tokens
 from .sharding import shard
@@ -25,6 +26,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, spans=False).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked(_table(spark, sf_dir, "documents"), words_each=3, num=90, den=100)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard(_table(spark, sf_dir, "documents"), shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -45,7 +50,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op6_sharding, op7_best_fit_packing, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op5_ngram_jaccard_join, op6_sharding, op7_best_fit_packing, op8_exact_dedup)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""
