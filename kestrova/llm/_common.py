@@ -39,11 +39,22 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete every table that ``written`` has made so far. Call it only when
-    no result that still reads them is needed."""
-    while _written:
-        spark, path = _written.pop()
+def small(df: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """``df`` written, and marked for broadcast if it has at most ``most`` rows;
+    beyond, joins with it shuffle."""
+    df = written(df, "small")
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def tables() -> int:
+    """How many tables ``written`` has made so far."""
+    return len(_written)
+
+
+def release(first: int, last: int) -> None:
+    """Delete those of the tables that ``written`` has made, in order. Call it only
+    when no result that still reads them is needed."""
+    for spark, path in _written[first:last]:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 

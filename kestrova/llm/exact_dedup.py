@@ -104,7 +104,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     apart = _differing(suspects, key, total, chunk_chars)
     rows = rows.withColumn("class", F.lit(0)) if apart is None else rows.join(apart, [*key, "id", "sha"], "left").withColumn("class", F.coalesce("class", F.lit(0)))
     key = [*key, "class"]
-    best = F.max_by("id", F.struct("chars", F.col("id").isNull(), -F.col("id")))
+    best = F.min_by("id", F.struct(-F.col("chars"), "id"))
     groups = rows.groupBy(*key).agg(best.alias("keep_id"), F.count("*").alias("group_size"), F.max("chars").alias("most"))
     joined = join_groups(rows, groups, key, "group_size", total)
     # rows repeated in full: all have the id that stays, one of them is kept

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 from functools import cache
 from typing import NamedTuple
 
@@ -10,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textvec import Words, pieces, raw, words
 
@@ -225,16 +227,16 @@ def viterbi(score: np.ndarray, text: np.ndarray, texts: int, penalty: float, chu
     return way[row, col]
 
 
-def identify(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
-    """One row a document: id, lang_pred, score and, if ``spans``, an array of
-    (start, end, lang) in code points.
+def identify(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, id_col: str = "doc_id", text_col: str = "text", spans: bool = True, carry: Sequence[str] = ()) -> DataFrame:
+    """One row a document: id, lang_pred, score, if ``spans`` an array of
+    (start, end, lang) in code points, and the columns in ``carry`` as they are.
 
     Scripts narrow a word's languages, three-byte statistics score them, and Viterbi
     with a penalty for each change labels the words of the whole text. lang_pred has the most
     letters (of equals the first by name), score is its share of the letters times
     its probability by all words. Null text, text without letters and a model
     without languages give `und`, score 0 and no spans. Ids aren't looked at. No
-    rows give no rows. Other columns are ignored, whatever their names."""
+    rows give no rows. Columns not in ``carry`` are ignored, whatever their names."""
     names = np.array([*model.languages, "und"], dtype=object)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -258,6 +260,7 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, id_col
                 top, some = by.argmax(1), by.sum(1)
                 every = np.arange(w.texts)
                 value = np.where(some > 0, by[every, top] / np.maximum(some, 1) * likely[every, top], 0.0)
+                kept = [batch.column(2 + k).slice(done - len(texts), len(texts)) for k in range(len(carry))]
                 columns = [own, pa.array(names[np.where(some > 0, top, n)], type=pa.string()), pa.array(value)]
                 if spans:
                     points = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
@@ -271,8 +274,12 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, id_col
                     base = points[ends[:-1]][w.text[low]]
                     spanned = pa.StructArray.from_arrays([pa.array((points[w.start[low]] - base).astype(np.int32)), pa.array((points[w.end[high]] - base).astype(np.int32)), pa.array(names[state[low]], type=pa.string())], names=["start", "end", "lang"])
                     columns.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(w.text[low], np.arange(w.texts + 1)).astype(np.int32)), spanned))
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "lang_pred", "score", "spans"][: len(columns)])
+                yield pa.RecordBatch.from_arrays([*columns, *kept], names=[f.name for f in schema])
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, lang_pred string, score double" + ", spans array<struct<start: int, end: int, lang: string>>" * spans).withColumnRenamed("id", id_col)
+    source = docs.select(F.col(id_col), F.col(text_col).alias("_text"), *carry)
+    schema = T.StructType([source.schema[id_col], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    if spans:
+        span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())])
+        schema = schema.add("spans", T.ArrayType(span))
+    schema = T.StructType([*schema.fields, *(source.schema[c] for c in carry)])
+    return source.mapInArrow(run, schema)

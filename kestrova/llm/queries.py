@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_dedup
 from .jaccard_join import linked
 from .langid import identify, train
+from .mixing import mix, word_count
 from .packing import pack, token_pieces, word_tokens
 from .sharding import shard
 
@@ -26,6 +27,17 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, spans=False).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def mixture() -> dict:
+    """The production tree: domains of five sources each, languages, sources."""
+    domain = F.concat(F.lit("d"), F.floor(F.regexp_extract("source", r"(\d+)", 1).try_cast("int") / 5).cast("string"))
+    return {"levels": [domain, F.col("lang"), F.col("source")], "weights": [{"d0": 4, "d1": 3, "d2": 2, "d3": 1}, {"en": 5, "de": 2, "fr": 2, "es": 1}, {}]}
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = mix(_table(spark, sf_dir, "documents"), **mixture(), budget_share=0.6, max_epochs=2, seed=17)
+    return used.select("doc_id", mixture()["levels"][0].alias("domain"), "lang", "source", word_count(F.col("text")).alias("tokens"), "times")
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(_table(spark, sf_dir, "documents"), words_each=3, num=90, den=100)
 
@@ -50,7 +62,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op5_ngram_jaccard_join, op6_sharding, op7_best_fit_packing, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_source_mixing, op5_ngram_jaccard_join, op6_sharding, op7_best_fit_packing, op8_exact_dedup)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""
