@@ -11,6 +11,7 @@ from .langid import identify, train
 from .mixing import mix, word_count
 from .packing import pack, token_pieces, word_tokens
 from .sharding import shard
+from .toxicity import build, score
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,14 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    index = build(docs, docs.filter(~held_out()).join(labels, "doc_id"), max_examples=3000)
+    scored = score(docs, index, evidence=False)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = train(docs.filter(~held_out()), max_docs=4000, by=F.col("doc_id"))
@@ -62,7 +71,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_source_mixing, op5_ngram_jaccard_join, op6_sharding, op7_best_fit_packing, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_language_id, op4_source_mixing, op5_ngram_jaccard_join, op6_sharding, op7_best_fit_packing, op8_exact_dedup)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""

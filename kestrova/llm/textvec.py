@@ -12,6 +12,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_ALNUM = _LOWER.copy()
+_ALNUM[:128][[not chr(c).isalnum() for c in range(128)]] = 32
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -50,11 +52,11 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, ends - ends[0]
 
 
-def words(texts: pa.Array, lower: bool = True) -> Words:
-    """The words `[^\\x20\\x09-\\x0D]+` of each text, with A-Z in lower case."""
+def words(texts: pa.Array, bare: bool = False) -> Words:
+    """The words `[^\\x20\\x09-\\x0D]+` of each text, with A-Z in lower case; if
+    ``bare``, ASCII punctuation separates words too."""
     data, ends = raw(texts)
-    if lower:
-        data = _LOWER[data]
+    data = (_ALNUM if bare else _LOWER)[data]
     inside = ~_SPACE[data]
     before = np.zeros(len(data) + 1, dtype=bool)
     before[1:] = inside
