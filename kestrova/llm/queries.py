@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .embedding_dedup import embedding_links
 from .exact_dedup import exact_dedup
 from .jaccard_join import linked
 from .langid import identify, train
@@ -22,6 +23,10 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
+def op1_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -71,7 +76,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_language_id, op4_source_mixing, op5_ngram_jaccard_join, op6_sharding, op7_best_fit_packing, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_lattice_near_dedup, op2_toxicity, op3_language_id, op4_source_mixing, op5_ngram_jaccard_join, op6_sharding, op7_best_fit_packing, op8_exact_dedup)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""
