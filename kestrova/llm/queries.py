@@ -9,8 +9,10 @@ from .embedding_dedup import embedding_links
 from .exact_dedup import exact_dedup
 from .jaccard_join import linked
 from .langid import identify, train
+from .lm_score import pseudo_likelihood, train_network
 from .mixing import mix, word_count
 from .packing import pack, token_pieces, word_tokens
+from .secrets import scan, train_scanner
 from .sharding import shard
 from .toxicity import build, score
 
@@ -76,7 +78,18 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice_near_dedup, op2_toxicity, op3_language_id, op4_source_mixing, op5_ngram_jaccard_join, op6_sharding, op7_best_fit_packing, op8_exact_dedup)}
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = scan(docs, train_scanner(docs), threshold=0.5)
+    return found.select("doc_id", "n_candidates", F.size("findings").alias("n_findings"), "findings")
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pseudo_likelihood(docs, train_network(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_lattice_near_dedup, op2_toxicity, op3_language_id, op4_source_mixing, op5_ngram_jaccard_join, op6_sharding, op7_best_fit_packing, op8_exact_dedup, op9_secret_scan, op10_lm_scoring)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""
