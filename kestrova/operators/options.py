@@ -30,8 +30,16 @@ def _poly(coefficients: Sequence[float], x: Column) -> Column:
 
 
 def normal_cdf(z: Column) -> Column:
-    """The normal distribution function as a column expression, to about 1e-16."""
-    y = F.abs(z) / math.sqrt(2)
+    """The normal distribution function as a column expression, to about 1e-16. z is bound
+    once, by a transform of one element, as generated code would repeat it."""
+    return F.transform(F.array(z), _cdf)[0]
+
+
+def _cdf(z: Column) -> Column:
+    return F.transform(F.array(F.abs(z) / math.sqrt(2)), lambda y: _cdf_of(z, y))[0]
+
+
+def _cdf_of(z: Column, y: Column) -> Column:
     square = y * y
     inner = y * _poly(_P1, square) / _poly(_Q1, square)
     middle = F.exp(-square) * _poly(_P2, y) / _poly(_Q2, y)
