@@ -31,8 +31,8 @@ def op1_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    index = build(docs, docs.filter(~held_out()).join(labels, "doc_id"), max_examples=3000)
+    labels = _table(spark, sf_dir, "labels").filter(~held_out()).select("doc_id", "toxic")
+    index = build(docs, labels, max_examples=3000)
     scored = score(docs, index, evidence=False)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import written
 from .textvec import Words, hashes, mix, pieces, words
 
 _BLOCK = 64
@@ -134,17 +135,20 @@ def _votes(found: np.ndarray, cosines: np.ndarray, labels: np.ndarray) -> np.nda
     return np.where(total > 0, (cosines * (labels[found] * (found >= 0))).sum(1) / np.where(total > 0, total, 1), -1)
 
 
-def build(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 3000, max_terms: int = 4096, min_ratio: float = 4.0, k: int = 15) -> Index:
-    """An index of labelled examples: about ``max_examples`` of each label (all, if there are
-    no more), by the hash of their text. The vocabulary has the ``max_terms`` words
+def build(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 3000, max_terms: int = 4096, min_ratio: float = 4.0, k: int = 15) -> Index:
+    """An index of labelled examples: those ``docs`` that ``labels`` (id, label) names, about
+    ``max_examples`` of each label (all, if there are no more), by the hash of
+    their id; so few label rows are broadcast and no text is shuffled. The vocabulary has the ``max_terms`` words
     and word beginnings that are most surely commoner with label 1 (by at least four
     standard errors, and ``min_ratio`` times); document frequencies count all of ``docs``. Scores are
     calibrated on the examples, each voted on by the others, with weights that
     undo the sampling. Rows with null text or label teach nothing."""
-    rows = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).filter("text is not null and label in (0, 1)")
+    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
     sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("label") == 1, max_examples / max(sizes.get(1, 0), 1)).otherwise(max_examples / max(sizes.get(0, 0), 1))
-    rows = rows.filter(F.abs(F.xxhash64("text") % 1000000) < share * 1000000)
+    drawn = F.broadcast(rows.filter(F.abs(F.xxhash64("id") % 1000000) < share * 1000000))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+    rows = written(source.join(drawn, "id").select(F.col("id").cast("long"), "text", "label"), "examples")
 
     def occur(batches):
         for batch in batches:
