@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from kestrova.functions.fold import fold
 from kestrova.series import CODE, SEQ, Staged
 
-_ORDER = Window.partitionBy(CODE).orderBy(SEQ)
+def _order() -> WindowSpec:
+    return Window.partitionBy(CODE).orderBy(SEQ)
 
 
 def _values(df: DataFrame, x: str) -> DataFrame:
@@ -28,9 +29,9 @@ def _side(score: Column, bound: float) -> Column:
 
 def length_filter(df: DataFrame, label: str, window: int) -> DataFrame:
     """Runs of equal labels shorter than ``window`` become 0. A null is a run of one."""
-    before = F.lag(label).over(_ORDER)
+    before = F.lag(label).over(_order())
     new = F.when(F.col(label).eqNullSafe(before) & F.col(label).isNotNull(), 0).otherwise(1)
-    runs = df.withColumn("_new", new).withColumn("_run", F.sum("_new").over(_ORDER))
+    runs = df.withColumn("_new", new).withColumn("_run", F.sum("_new").over(_order()))
     size = F.count(F.lit(1)).over(Window.partitionBy(CODE, "_run"))
     return runs.withColumn("_size", size).withColumn(label, F.when(F.col("_size") < window, 0).otherwise(F.col(label))).drop("_new", "_run", "_size")
 
@@ -105,7 +106,7 @@ def slope(df: DataFrame, horizon: int, extension: float, min_trend: int, x: str
         return F.when(steep > 0, steep)
 
     kept = length_filter(_best(df, horizon, extension, x, rank), "label", min_trend)
-    held = F.last(F.when(F.col("label") != 0, F.col("label")), ignorenulls=True).over(_ORDER.rowsBetween(Window.unboundedPreceding, 0))
+    held = F.last(F.when(F.col("label") != 0, F.col("label")), ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, 0))
     return kept.withColumn("label", held)
 
 
@@ -118,14 +119,14 @@ def boosted(df: DataFrame, window: int, min_trend: int, volatility_threshold: fl
     a = look_forward(df, window, min_trend, volatility_threshold, x).withColumnRenamed("label", "_a")
     both = regression_rank(a, horizon, extension, r2_threshold, min_trend, x).withColumnRenamed("label", "_b")
     mark = F.when(F.col("_b") != 0, F.col("_b"))
-    past = F.last(mark, ignorenulls=True).over(_ORDER.rowsBetween(Window.unboundedPreceding, 0))
-    future = F.first(mark, ignorenulls=True).over(_ORDER.rowsBetween(0, Window.unboundedFollowing))
+    past = F.last(mark, ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, 0))
+    future = F.first(mark, ignorenulls=True).over(_order().rowsBetween(0, Window.unboundedFollowing))
     bridged = both.withColumn("_trend", F.when(past == future, past).otherwise(F.when(past.isNotNull() & future.isNotNull(), 0)))
     score = F.col("_a") * 2 + F.col("_trend")
-    held = F.last(F.when(F.abs(score) != 1, F.signum(score).cast("int")), ignorenulls=True).over(_ORDER.rowsBetween(Window.unboundedPreceding, 0))
+    held = F.last(F.when(F.abs(score) != 1, F.signum(score).cast("int")), ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, 0))
     joined = bridged.withColumn("_held", held).withColumn("label", F.when(F.col("_held") * F.col("_trend") == -1, 0).otherwise(F.col("_held")))
     kept = length_filter(joined, "label", trend_size)
-    after = F.lead("label").over(_ORDER)
+    after = F.lead("label").over(_order())
     return kept.withColumn("_after", after).withColumn("label", F.when(F.col("_after") == 0, 0).otherwise(F.col("label"))).select(*df.columns, "label")
 
 

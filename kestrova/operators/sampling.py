@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from kestrova.functions.fold import fold
 from kestrova.series import CODE, SEQ, Staged
 
-_ORDER = Window.partitionBy(CODE).orderBy(SEQ)
+def _order() -> WindowSpec:
+    return Window.partitionBy(CODE).orderBy(SEQ)
 #: Rules of an aggregation by name; first and last are by seq.
 RULES = {"first": lambda c: F.min_by(c, SEQ), "last": lambda c: F.max_by(c, SEQ), "max": F.max, "min": F.min, "sum": F.sum, "mean": F.avg, "count": F.count}
 OHLCV = {"open": "first", "high": "max", "low": "min", "close": "last", "volume": "sum"}
@@ -78,7 +79,7 @@ def events(df: DataFrame, upper: float, vertical: int, vol_window: int, label: s
     frame = s.T(vol_window)
     vol = s.full(F.stddev_samp(r).over(frame), r, frame, vol_window) * (vol_window**0.5)
     rows = s.apply(df, vol.alias("volatility"), keep=[CODE, SEQ, label, price]).dropna(subset=[label, price, "volatility"])
-    place = (F.row_number().over(_ORDER) - 1).cast("long")
+    place = (F.row_number().over(_order()) - 1).cast("long")
     ahead = Window.partitionBy(CODE).orderBy("start").rowsBetween(0, vertical)
     rows = rows.withColumn("start", place)
     x = F.col(price)

@@ -11,13 +11,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from kestrova.functions.fold import fold
 from kestrova.series import CODE, SEQ
 
-_ORDER = Window.partitionBy(CODE).orderBy(SEQ).rowsBetween(Window.unboundedPreceding, 0)
+def _so_far() -> WindowSpec:
+    return Window.partitionBy(CODE).orderBy(SEQ).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def grid(spark: SparkSession, paths: int, steps: int) -> DataFrame:
@@ -36,7 +37,7 @@ def normal(seed: int, *keys: Column | str | int) -> Column:
 def wiener(spark: SparkSession, paths: int, steps: int, horizon: float = 1.0, seed: int = 0) -> DataFrame:
     """From 0: sums of independent normal steps."""
     step = F.when(F.col(SEQ) == 0, 0.0).otherwise(normal(seed, CODE, SEQ) * math.sqrt(horizon / max(steps - 1, 1)))
-    return grid(spark, paths, steps).withColumn("z", step).select(CODE, SEQ, F.sum("z").over(_ORDER).alias("x"))
+    return grid(spark, paths, steps).withColumn("z", step).select(CODE, SEQ, F.sum("z").over(_so_far()).alias("x"))
 
 
 def geometric(spark: SparkSession, paths: int, steps: int, start: float = 100.0, drift: float = 0.05, volatility: float = 0.2, horizon: float = 1.0, seed: int = 0) -> DataFrame:
@@ -54,7 +55,7 @@ def correlated_geometric(spark: SparkSession, correlation: Sequence[Sequence[flo
     mixed = sum((pick(factor[:, k]) * normal(seed, SEQ, k) for k in range(n)), F.lit(0.0))
     v = pick(volatility)
     move = F.when(F.col(SEQ) == 0, 0.0).otherwise((pick(drift) - 0.5 * v * v) * dt + v * math.sqrt(dt) * mixed)
-    return rows.withColumn("z", move).select(CODE, SEQ, (pick(start) * F.exp(F.sum("z").over(_ORDER))).alias("x"))
+    return rows.withColumn("z", move).select(CODE, SEQ, (pick(start) * F.exp(F.sum("z").over(_so_far()))).alias("x"))
 
 
 def ornstein_uhlenbeck(spark: SparkSession, paths: int, steps: int, start: float = 0.0, mean: float = 0.0, theta: float = 1.0, sigma: float = 0.3, horizon: float = 1.0, seed: int = 0) -> DataFrame:
@@ -92,6 +93,6 @@ def power_law(spark: SparkSession, paths: int, steps: int, alpha: float = 3.0, l
 def power_law_walk(spark: SparkSession, paths: int, steps: int, alpha: float = 3.0, hurst: float = 0.5, seed: int = 0) -> DataFrame:
     """Sums of power-law steps of either sign; a step keeps the last sign with probability ``hurst``."""
     rows = power_law(spark, paths, steps, alpha, 1.0, seed).withColumn("u", uniform(seed + 1, CODE, SEQ))
-    turned = F.sum(F.when(F.col("u") > hurst, 1).otherwise(0)).over(_ORDER)
+    turned = F.sum(F.when(F.col("u") > hurst, 1).otherwise(0)).over(_so_far())
     signed = rows.withColumn("z", F.col("x") * F.when(F.pmod(turned, F.lit(2)) == 0, 1).otherwise(-1))
-    return signed.select(CODE, SEQ, F.sum("z").over(_ORDER).alias("x"))
+    return signed.select(CODE, SEQ, F.sum("z").over(_so_far()).alias("x"))
