@@ -269,7 +269,7 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, id_col
                     new[1:] = (state[1:] != state[:-1]) | (w.text[1:] != w.text[:-1])
                     new &= some[w.text] > 0
                     low = np.flatnonzero(new)
-                    high = np.append(low[1:], 0) - 1
+                    high = np.append(low[1:], 0)[: len(low)] - 1
                     high = np.where((high >= 0) & (w.text[high] == w.text[low]), high, np.searchsorted(w.text, w.text[low], side="right") - 1)
                     base = points[ends[:-1]][w.text[low]]
                     spanned = pa.StructArray.from_arrays([pa.array((points[w.start[low]] - base).astype(np.int32)), pa.array((points[w.end[high]] - base).astype(np.int32)), pa.array(names[state[low]], type=pa.string())], names=["start", "end", "lang"])
