@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ._common import components, join_groups, written
 from .textvec import hashes, mix, pieces, shingles, words
 
-_BINS = 64
+_BINS = 256
 
 
 class Sets(NamedTuple):
@@ -164,7 +164,7 @@ def linked(docs: DataFrame, words_each: int = 3, num: int = 90, den: int = 100,
     key. A key's sets are compared with its first set; then, where
     these verified links leave a key's sets in several components, all its pairs between
     two components are. So no link between components is lost, and a group of
-    near copies costs about one comparison a document. Counts of tokens in 64 bins differ by at
+    near copies costs about one comparison a document. Counts of tokens in 256 bins differ by at
     most the sets' difference, which rules out most other pairs before the sets
     themselves are fetched. All comparisons are exact.
 
@@ -182,10 +182,10 @@ def linked(docs: DataFrame, words_each: int = 3, num: int = 90, den: int = 100,
                 at += len(texts)
                 s = shingle_sets(texts, words_each)
                 bins = np.zeros((len(s.size), _BINS), dtype=np.int64)
-                np.add.at(bins, (s.text, (mix(s.tokens) >> np.uint64(58)).astype(np.int64)), 1)
-                sketch = np.minimum(bins, 65535).astype("<u2")
+                np.add.at(bins, (s.text, (mix(s.tokens) >> np.uint64(56)).astype(np.int64)), 1)
+                sketch = np.minimum(bins, 255).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [own, pa.array(s.size.astype(np.int64)), pa.array(_sums(s, seed).view(np.int64)), pa.array(_sums(s, seed + 1000).view(np.int64)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * _BINS), len(s.size), [None, pa.py_buffer(sketch.tobytes())]).cast(pa.binary())],
+                    [own, pa.array(s.size.astype(np.int64)), pa.array(_sums(s, seed).view(np.int64)), pa.array(_sums(s, seed + 1000).view(np.int64)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(_BINS), len(s.size), [None, pa.py_buffer(sketch.tobytes())]).cast(pa.binary())],
                     names=["id", "n", "sid", "other", "sketch"],
                 )
 
@@ -251,10 +251,14 @@ def linked(docs: DataFrame, words_each: int = 3, num: int = 90, den: int = 100,
         more = _verified(rest, sets, source, words_each, num, den, seed)
         links = written(links.unionByName(more), "links")
         parts = components(links)
-    rest = written(_possible(_across(met, parts).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), sets, num, den), "rest")
-    if not rest.isEmpty():
-        more = _verified(rest, sets, source, words_each, num, den, seed)
-        parts = components(written(links.unionByName(more), "links"))
+    # the likeliest partner of each set outside its key's largest component, then all that remain
+    for likeliest in (True, False):
+        found = _across(met, parts, sets, num, den, likeliest).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        found = written(found.join(links.select("a", "b"), ["a", "b"], "left_anti"), "across")
+        if not found.isEmpty():
+            more = _verified(found, sets, source, words_each, num, den, seed)
+            links = written(links.unionByName(more), "links")
+            parts = components(links)
     named = sets.select("sid", "rep", "copies").join(parts.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = parts.join(sets.select(F.col("sid").alias("id"), "rep"), "id").groupBy("component").agg(F.min("rep").alias("least"))
     named = named.join(least, "component", "left").select("sid", "copies", F.coalesce("least", "rep").alias("component_id"))
@@ -269,7 +273,7 @@ def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
     @F.arrow_udf("boolean")
     def may(a: pa.Array, b: pa.Array, both: pa.Array) -> pa.Array:
-        x, y = (np.frombuffer(b"".join(v.to_pylist()), dtype="<u2").reshape(-1, _BINS).astype(np.int64) for v in (a, b))
+        x, y = (np.frombuffer(b"".join(v.to_pylist()), dtype=np.uint8).reshape(-1, _BINS).astype(np.int16) for v in (a, b))
         return pa.array(np.abs(x - y).sum(1) <= both.to_numpy() * (den - num) // (den + num))
 
     side = lambda c: sets.select(F.col("sid").alias(c), F.col("sketch").alias(f"{c}_sketch"), F.col("n").alias(f"{c}_size"))
@@ -284,18 +288,55 @@ def _between(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b")
 
 
-def _across(met: DataFrame, parts: DataFrame) -> DataFrame:
-    """All pairs of sets that share a key and are in different components."""
-    sides = met.select("key", F.col("a").alias("sid"), F.col("a_n").alias("n")).unionByName(met.select("key", F.col("b").alias("sid"), F.col("b_n").alias("n"))).distinct()
+def _across(met: DataFrame, parts: DataFrame, sets: DataFrame, num: int, den: int, likeliest: bool) -> DataFrame:
+    """Pairs of sets that share a key, are in different components and may be similar by
+    size and bins; if ``likeliest``, of each set outside its key's largest
+    component only the partner whose bins differ least. Each key's sets are
+    dealt into blocks of about 4000, past which those outside the largest component stream; a pair that
+    is ruled out is never a row."""
+    sides = met.select("key", F.col("a").alias("sid")).unionByName(met.select("key", F.col("b").alias("sid"))).distinct()
     sides = sides.join(parts.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    several = sides.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    sides = written(sides.join(several, "key", "left_semi"), "sides")
-    largest = sides.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    sides = sides.join(largest, "key")
-    rest = sides.filter("component <> main").select("key", F.col("sid").alias("a"), F.col("component").alias("a_part"), F.col("n").alias("a_n"))
-    every = sides.select("key", F.col("sid").alias("b"), F.col("component").alias("b_part"), "main", F.col("n").alias("b_n"))
-    found = rest.join(every, "key").filter((F.col("a_part") != F.col("b_part")) & ((F.col("b_part") == F.col("main")) | (F.col("a") < F.col("b"))))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sides = written(sides, "sides")
+    by_part = sides.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.ceil(F.sum("count") / 4000).cast("int").alias("blocks"), F.count("*").alias("parts"))
+    sides = sides.join(by_part.filter("parts > 1").drop("parts"), "key").join(sets.select("sid", "n", "sketch"), "sid").withColumn("outside", F.col("component") != F.col("main")).drop("main")
+    every = sides.withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int")).withColumn("past", F.lit(False))
+    past = sides.filter("outside").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("past", F.lit(True))
+    dealt = every.unionByName(past.select(*every.columns)).drop("blocks").repartition("key", "block").sortWithinPartitions("key", "block", "past")
+
+    def prune(batches):
+        at, block = None, []
+        for batch in batches:
+            key, number, past, sid, part, n, outside = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "past", "sid", "component", "n", "outside"))
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, _BINS).astype(np.int16)
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (number[1:] != number[:-1])
+            first = np.flatnonzero(new)
+            out = [(np.zeros(0, np.int64),) * 2]
+            for low, high in zip(first, np.append(first[1:], len(key))):
+                if (key[low], number[low]) != at:
+                    at, block = (key[low], number[low]), []
+                middle = low + int(np.searchsorted(past[low:high], True))
+                if middle > low:
+                    block.append([x[low:middle] for x in (sid, part, n, outside, sketch)])
+                if middle == high:
+                    continue
+                block = [[np.concatenate(x) for x in zip(*block)]]
+                their, their_part, their_n, their_out, their_sketch = block[0]
+                for i in range(middle, high):
+                    both = their_n + n[i]
+                    may = (their_part != part[i]) & (np.minimum(their_n, n[i]) * den >= np.maximum(their_n, n[i]) * num) & (~their_out | likeliest | (their > sid[i]))
+                    may = np.flatnonzero(may)
+                    if not len(may):
+                        continue
+                    differ = np.abs(their_sketch[may] - sketch[i]).sum(1)
+                    fit = differ <= both[may] * (den - num) // (den + num)
+                    may, differ = may[fit], differ[fit]
+                    if likeliest and len(may):
+                        may = may[[differ.argmin()]]
+                    out.append((np.minimum(their[may], sid[i]), np.maximum(their[may], sid[i])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
+
+    return dealt.mapInArrow(prune, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, source: DataFrame, words_each: int, num: int, den: int, seed: int, most_broadcast: int = 1 << 20) -> DataFrame:
