@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import written
 from .textvec import hashes, pieces, words
 
 #: Words of the vocabulary, and how the output is split: a class, then a word of the class.
@@ -33,9 +34,11 @@ class Network(NamedTuple):
     class_bias: np.ndarray
     to_word: np.ndarray
     word_bias: np.ndarray
+    #: log of the distinct words of the corpus that one number of the rarest class stands for
+    rare: float = 0.0
 
 
-_WEIGHTS = Network._fields[2:]
+_WEIGHTS = Network._fields[2:-1]
 
 
 def _numbers(texts: pa.Array, terms: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +69,8 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 
 
 def log_probabilities(net: Network, ids: np.ndarray, around: np.ndarray, at_once: int = 1 << 15) -> np.ndarray:
-    """log P(word | the words around it) of each place."""
+    """log P(word | the words around it) of each place. A word out of the vocabulary has an even
+    part of its number's probability: all words of the corpus together have 1."""
     out = np.empty(len(ids), dtype=np.float64)
     for low in range(0, len(ids), at_once):
         own, h = ids[low : low + at_once], _hidden(net, around[low : low + at_once])
@@ -79,7 +83,7 @@ def log_probabilities(net: Network, ids: np.ndarray, around: np.ndarray, at_once
             rows = order[ends[c] : ends[c + 1]]
             if len(rows):
                 value[rows] += _log_softmax(h[rows] @ net.to_word[c] + net.word_bias[c])[np.arange(len(rows)), own[rows] % _EACH]
-        out[low : low + at_once] = value
+        out[low : low + at_once] = value - net.rare * (own >= _KNOWN)
     return out
 
 
@@ -131,9 +135,9 @@ def train_network(docs: DataFrame, text_col: str = "text", share: float = 0.0625
                 h, n = np.unique(hashes(words(texts)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
 
-    often = source.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    often = written(source.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "words")
     top = often.orderBy(F.desc("n"), "term").limit(_KNOWN).collect()
-    total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total, distinct = often.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     terms, counts = np.array([r.term for r in top], dtype=np.int64).view(np.uint64), np.zeros(_SIZE)
     counts[: len(top)] = [r.n for r in top]
     counts[_KNOWN:] = max(total - counts.sum(), 0) / _EACH
@@ -143,7 +147,7 @@ def train_network(docs: DataFrame, text_col: str = "text", share: float = 0.0625
     by_class = counts.reshape(_CLASSES, _EACH) + 0.5
     embed = near(_SIZE + 1, width)
     embed[_SIZE] = 0
-    net = Network(terms[order], order, embed, near(2 * _WINDOW, width, width), np.zeros(width, np.float32), near(width, _CLASSES) * 0, np.log(by_class.sum(1) / by_class.sum()).astype(np.float32), near(_CLASSES, width, _EACH) * 0, np.log(by_class / by_class.sum(1, keepdims=True)).astype(np.float32))
+    net = Network(terms[order], order, embed, near(2 * _WINDOW, width, width), np.zeros(width, np.float32), near(width, _CLASSES) * 0, np.log(by_class.sum(1) / by_class.sum()).astype(np.float32), near(_CLASSES, width, _EACH) * 0, np.log(by_class / by_class.sum(1, keepdims=True)).astype(np.float32), float(np.log(max((distinct - len(top)) / _EACH, 1.0))))
     flat = lambda x: np.concatenate([getattr(x, k).ravel() for k in _WEIGHTS])
     step = 1 << 14
     for turn in range(rounds):
@@ -198,7 +202,8 @@ def pseudo_likelihood(docs: DataFrame, net: Network, id_col: str = "doc_id", tex
 
     Every word of the whole text is predicted from the two words on each side of it; log_likelihood is
     the sum of the logarithms of these conditional probabilities, per_token their mean.
-    Words out of the vocabulary fall into 64 classes by hash. Null and empty texts, and
+    Words out of the vocabulary fall into 64 numbers by hash, and share a number's probability
+    evenly among the distinct words of the corpus that it stands for. Null and empty texts, and
     white space alone, have 0 tokens, log_likelihood 0 and null per_token. Ids aren't
     looked at; equal texts have equal scores. No rows give no rows. Other columns
     are ignored, whatever their names."""

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from kestrova.llm import exact_dedup as xd
+from kestrova.llm._common import components as smallest
 from kestrova.llm.embedding_dedup import cells, decode, embedding_links, roots
 from kestrova.llm.exact_dedup import exact_dedup
 from kestrova.llm.jaccard_join import bands, linked, shingle_sets, signatures
@@ -129,6 +130,15 @@ def test_similar_sets_share_a_probed_key():
                         assert held[a][1] & held[b][0] or held[b][1] & held[a][0]
 
 
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_components(spark, most):
+    rng = random.Random(8)
+    pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 360)] + [(400, k) for k in range(401, 440)] + [(5, 5)]
+    got = {r.id: r.component for r in smallest(spark.createDataFrame(pairs, "a long, b long").repartition(7), most).collect()}
+    want = components([p for p in pairs if p[0] != p[1]], {x for p in pairs if p[0] != p[1] for x in p})
+    assert got == want
+
+
 def test_lattice():
     assert len(roots()) == 240 and np.allclose((roots() ** 2).sum(1), 2)
     x = np.random.default_rng(0).normal(size=(500, 8)) * 3

@@ -150,6 +150,8 @@ def test_gradient_is_the_slope():
     net = lm_score.Network(np.zeros(0, np.uint64), np.zeros(0, np.int64), *((rng.normal(size=s) * 0.3).astype(np.float32) for s in ((lm_score._SIZE + 1, width), (4, width, width), (width,), (width, 64), (64,), (64, width, 64), (64, 64))))
     ids, around = rng.integers(0, 300, 64), rng.integers(0, 300, (64, 4))
     before = lm_score.log_probabilities(net, ids, around).mean()
+    heavy = net._replace(rare=2.0)
+    assert np.allclose(lm_score.log_probabilities(heavy, ids + 3800, around) - lm_score.log_probabilities(net, ids + 3800, around), np.where(ids + 3800 >= lm_score._KNOWN, -2.0, 0))
     memory = {}
     for _ in range(30):
         net = lm_score._learn(net, ids, around, memory, 0.1)
@@ -165,7 +167,7 @@ def test_scores(spark, docs):
     frame = spark.createDataFrame(list(enumerate(real + mixed + odd)), "doc_id long, text string")
     got = {x.doc_id: x for x in lm_score.pseudo_likelihood(frame, net).collect()}
     mean = lambda low: np.mean([got[i].per_token for i in range(low, low + 40)])
-    assert mean(0) > mean(80) and all(x.log_likelihood == pytest.approx(x.per_token * x.n_tokens) for x in got.values())
+    assert mean(0) > mean(40) > mean(80) and all(x.log_likelihood == pytest.approx(x.per_token * x.n_tokens) for x in got.values())
     out = {x.doc_id: x for x in lm_score.pseudo_likelihood(edges(spark), net).collect()}
     assert (out[1].n_tokens, out[1].log_likelihood, out[1].per_token) == (0, 0.0, None) and out[7].n_tokens == 5000
     assert math.isfinite(out[7].log_likelihood)
