@@ -68,7 +68,6 @@ def calibration(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFr
 
 def roc(df: DataFrame, score: str, label: str, thresholds: int = 101) -> DataFrame:
     """(threshold, true_positive_rate, false_positive_rate, precision) on an even grid of thresholds."""
-    at = lambda k: F.lit(k / (thresholds - 1))
     y = F.col(label) == 1
     place = F.floor(F.col(score) * (thresholds - 1)).cast("int")
     counts = df.groupBy(place.alias("place")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
@@ -77,7 +76,6 @@ def roc(df: DataFrame, score: str, label: str, thresholds: int = 101) -> DataFra
     every = Window.partitionBy()
     rows = grid.join(F.broadcast(counts), "place", "left").na.fill(0)
     rows = rows.withColumns({"tp": F.sum("pos").over(over), "fp": F.sum("neg").over(over), "p": F.sum("pos").over(every), "n": F.sum("neg").over(every)})
-    del at
     return rows.select((F.col("place") / (thresholds - 1)).alias("threshold"), _ratio(F.col("tp"), F.col("p")).alias("true_positive_rate"), _ratio(F.col("fp"), F.col("n")).alias("false_positive_rate"), _ratio(F.col("tp"), F.col("tp") + F.col("fp"), 1.0).alias("precision"))
 
 

@@ -61,6 +61,13 @@ def test_classifiers_abstain_and_search(rows):
     assert best == {"maxDepth": 3} and len(every) == 2 and score > 0.8
 
 
+def test_plot_numbers(rows):
+    scored = rows.select(F.when(F.col("label") == 1, 0.9).otherwise(0.2).alias("p"), (F.col("label") == 1).cast("int").alias("y"))
+    at = {round(r.threshold, 2): r for r in metrics.roc(scored, "p", "y").collect()}
+    assert (at[0.5].true_positive_rate, at[0.5].false_positive_rate, at[0.5].precision) == (1.0, 0.0, 1.0) and at[0.0].false_positive_rate == 1.0
+    assert [(r.bin, r.share) for r in metrics.calibration(scored, "p", "y").orderBy("bin").collect()] == [(2, 0.0), (9, 1.0)]
+
+
 def test_sequence_tree(rows):
     for criterion in ("gini", "shannon", "plugin"):
         t = SequenceTree(criterion, 3).fit(rows.limit(60), ["a", "b"])
