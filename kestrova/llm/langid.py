@@ -245,7 +245,7 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, id_col
         n = len(model.languages)
         for batch in batches:
             done = 0
-            for texts in pieces(batch.column(1), 1 << 21):
+            for texts in pieces(batch.column(1), 1 << 20):
                 own = batch.column(0).slice(done, len(texts))
                 done += len(texts)
                 w = words(texts)

@@ -9,11 +9,11 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import with_ranks
+from .textvec import hashes, words
 from .textvec import pieces as slices
 
 
@@ -34,65 +34,55 @@ class WordTokens:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.split, self.latin = regex.compile(self.PATTERN).findall, re.compile("[!-~¡-įı-ɏ]+").fullmatch
+        self.parts: dict[str, bytes] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.parts = {}, {}
-        self.ids, self.used = np.zeros(1 << 20, dtype=np.uint16), 0
-        self.first, self.size = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+        """Known words are three arrays by hash: about 20 bytes a word."""
+        self.hash = np.zeros(0, dtype=np.uint64)
+        self.first, self.size = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
+        self.ids = np.zeros(0, dtype=np.uint16)
 
-    def _learn(self, new: list[str]) -> None:
+    def _tokens(self, new: list[str]) -> list[bytes]:
+        """The ids of each word, as the bytes of 16-bit numbers."""
         split = [self.split(w.lower()) if self.latin(w) and "<|" not in w else None for w in new]
+        if len(self.parts) > self.most // 4:
+            self.parts = {}
         parts = self.parts
         fresh = list(dict.fromkeys(p for s in split if s for p in s if p not in parts))
         if fresh:
             got = self.tokenizer.encode(" ".join(fresh), add_special_tokens=False)
-            ids, owner = np.array(got.ids), np.array(got.word_ids)
+            ids, owner = np.array(got.ids, dtype=np.uint16).tobytes(), np.array(got.word_ids)
             if owner.max(initial=-1) != len(fresh) - 1:
                 raise ValueError("the tokenizer splits words otherwise than its pattern")
-            ends = np.searchsorted(owner, np.arange(len(fresh) + 1))
-            ids = ids.tolist()
-            parts.update((p, ids[a:b]) for p, a, b in zip(fresh, ends[:-1].tolist(), ends[1:].tolist()))
+            ends = (2 * np.searchsorted(owner, np.arange(len(fresh) + 1))).tolist()
+            parts.update((p, ids[a:b]) for p, a, b in zip(fresh, ends[:-1], ends[1:]))
         whole = [w for w, s in zip(new, split) if s is None]
-        whole = dict(zip(whole, (e.ids for e in self.tokenizer.encode_batch(whole, add_special_tokens=False))))
-        flat, sizes = [], []
-        for w, s in zip(new, split):
-            before = len(flat)
-            if s is None:
-                flat += whole[w]
-            else:
-                for p in s:
-                    flat += parts[p]
-            sizes.append(len(flat) - before)
-        count, n = len(self.known), len(new)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while count + n > len(self.first):
-            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.size[count : count + n] = sizes
-        self.first[count : count + n] = self.used + np.cumsum(sizes) - sizes
-        self.used += len(flat)
-        self.known.update(zip(new, range(count, count + n)))
+        whole = dict(zip(whole, (np.array(e.ids, dtype=np.uint16).tobytes() for e in self.tokenizer.encode_batch(whole, add_special_tokens=False))))
+        return [whole[w] if s is None else b"".join([parts[p] for p in s]) for w, s in zip(new, split)]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and len(texts) + 1 offsets into them. Null is empty."""
-        lists = pc.ascii_split_whitespace(texts.fill_null(""))
-        ends = lists.offsets.to_numpy().astype(np.int64)
-        coded = lists.flatten().dictionary_encode()
-        unique = coded.dictionary.to_pylist()
-        if len(self.known) + len(unique) > self.most and self.known:
-            self.clear()
-        known = self.known
-        new = [w for w in unique if w not in known]
-        if new:
-            self._learn(new)
-        codes = np.fromiter((known[w] for w in unique), dtype=np.int64, count=len(unique))[coded.indices.to_numpy()]
-        ends = ends - ends[0]
-        size = self.size[codes]
+        """All ids, and len(texts) + 1 offsets into them. Null is empty. Words are known by
+        64-bit hashes of their bytes."""
+        w = words(texts, lower=False)
+        unique, place, code = np.unique(hashes(w), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hash, unique)
+        new = np.flatnonzero(self.hash[np.minimum(at, len(self.hash) - 1)] != unique) if len(self.hash) else np.arange(len(unique))
+        if len(new):
+            if len(self.hash) and len(self.hash) + len(new) > self.most:
+                self.clear()
+                at, new = np.zeros(len(unique), np.int64), np.arange(len(unique))
+            data = w.data.tobytes()
+            found = self._tokens([data[a:b].decode() for a, b in zip(w.start[place[new]].tolist(), w.end[place[new]].tolist())])
+            size = np.array([len(f) // 2 for f in found], dtype=np.int32)
+            first = (len(self.ids) + np.cumsum(size) - size).astype(np.int32)
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), dtype=np.uint16)])
+            self.hash, self.first, self.size = (np.insert(x, at[new], y) for x, y in ((self.hash, unique[new]), (self.first, first), (self.size, size)))
+            at = np.searchsorted(self.hash, unique)
+        size, first = self.size[at][code].astype(np.int64), self.first[at][code]
         to = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat(self.first[codes] - to[:-1], size) + np.arange(to[-1])
-        return self.ids[at], to[ends]
+        picked = np.repeat(first - to[:-1], size) + np.arange(to[-1])
+        return self.ids[picked], to[np.searchsorted(w.text, np.arange(len(texts) + 1))]
 
 
 _loaded: dict[str, WordTokens] = {}
@@ -120,7 +110,7 @@ def token_pieces(docs: DataFrame, tokens: Callable[[], Callable], length: int =
         tokenize = tokens()
         for batch in batches:
             at = 0
-            for texts in slices(batch.column(1)):
+            for texts in slices(batch.column(1), 1 << 21):
                 own = batch.column(0).slice(at, len(texts))
                 at += len(texts)
                 ids, ends = tokenize(texts)

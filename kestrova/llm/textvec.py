@@ -29,7 +29,7 @@ class Words(NamedTuple):
     texts: int
 
 
-def pieces(texts: pa.Array, most: int = 1 << 22) -> Iterator[pa.Array]:
+def pieces(texts: pa.Array, most: int = 1 << 21) -> Iterator[pa.Array]:
     """Slices of about ``most`` bytes; a longer text stands alone, whole."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -52,11 +52,11 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, ends - ends[0]
 
 
-def words(texts: pa.Array, bare: bool = False) -> Words:
-    """The words `[^\\x20\\x09-\\x0D]+` of each text, with A-Z in lower case; if
-    ``bare``, ASCII punctuation separates words too."""
+def words(texts: pa.Array, bare: bool = False, lower: bool = True) -> Words:
+    """The words `[^\\x20\\x09-\\x0D]+` of each text, with A-Z in lower case
+    unless not ``lower``; if ``bare``, ASCII punctuation separates words too."""
     data, ends = raw(texts)
-    data = (_ALNUM if bare else _LOWER)[data]
+    data = _ALNUM[data] if bare else _LOWER[data] if lower else data
     inside = ~_SPACE[data]
     before = np.zeros(len(data) + 1, dtype=bool)
     before[1:] = inside
