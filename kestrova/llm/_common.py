@@ -128,14 +128,18 @@ def forest(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").mapInArrow(run, "a long, b long")
 
 
-def components(pairs: DataFrame) -> DataFrame:
+def components(pairs: DataFrame, most: int = 1 << 20) -> DataFrame:
     """(id, component): for every id in pairs (a, b) the smallest id it reaches.
 
-    Alternates large-star and small-star steps, each a partial aggregation and a
-    join, until no edge changes; every round is a written table. No component is
-    brought to one task or to the driver. Pairs must not be null; a pair of an id
-    with itself is ignored."""
+    Each task first replaces its pairs by a spanning forest. If at most ``most`` edges
+    are left, one task joins the forests. Beyond, large-star and small-star steps
+    alternate, each a partial aggregation and a join, until no edge changes; every
+    round is a written table, and no component is brought to one task. Nothing goes to
+    the driver. Pairs must not be null; a pair of an id with itself is ignored."""
     edges = written(forest(pairs.filter("a <> b")), "edges")
+    if edges.count() <= most:
+        edges = written(forest(edges.coalesce(1)), "edges")
+        return _named(edges)
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -150,5 +154,9 @@ def components(pairs: DataFrame) -> DataFrame:
         edges = after
         if (same.n, same.h) == (was.n, was.h):
             break
-    roots = edges.select(F.col("b").alias("id")).distinct()
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
+    return _named(edges)
+
+
+def _named(stars: DataFrame) -> DataFrame:
+    roots = stars.select(F.col("b").alias("id")).distinct()
+    return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
