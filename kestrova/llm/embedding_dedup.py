@@ -174,6 +174,8 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
                     if a == b or have is None and not inside:
                         continue
                     x, x_id, x_copies = np.stack(units[a:b]), vid[a:b], copies[a:b]
+                    # held before this batch: new rows meet these once, so in either order of ids
+                    before = len(have[1]) if inside and have is not None else 0
                     if inside:
                         have = (x, x_id, x_copies) if have is None else tuple(np.concatenate(z) for z in zip(have, (x, x_id, x_copies)))
                     if have is None:
@@ -184,7 +186,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
                     near = x @ y.T >= threshold - 1e-9
                     i, j = np.nonzero(near)
                     x_probes = probe[a:b][i]
-                    keep = x_probes | (x_id[i] > y_id[j])
+                    keep = x_probes | (j < before) | (x_id[i] > y_id[j])
                     keep &= x_id[i] != y_id[j]
                     i, j, x_probes = i[keep], j[keep], x_probes[keep]
                     exact = np.einsum("ij,ij->i", x[i], y[j]) >= threshold

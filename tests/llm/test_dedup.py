@@ -168,3 +168,21 @@ def test_embedding_links(spark):
     assert [got[i].n_links for i in range(900, 907)] == [0, 0, 0, 0, 0, 1, 1] and got[906].component_id == 905
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_links(none).collect() == []
+
+
+@pytest.mark.parametrize("records", [7, 10000])
+def test_embedding_links_across_batches(spark, records):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1, 32)) + rng.normal(size=(90, 32)) * 0.01
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    # many files, so that rows don't meet in the order of their numbers
+    held = {"spark.sql.execution.arrow.maxRecordsPerBatch": records, "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": 9}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = embedding_links(frame).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [r.n_links for r in got] == [89] * 90 and {r.component_id for r in got} == {0}
