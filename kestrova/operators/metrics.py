@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,16 +206,31 @@ def autocorrelation(df: DataFrame, lags: int, x: str = "x") -> DataFrame:
     return one.select(CODE, pairs.alias("p")).select(CODE, "p.*")
 
 
-def partial_autocorrelation(df: DataFrame, lags: int, x: str = "x") -> list[float]:
-    """Of one series: for each k the last coefficient of a regression on the k values before."""
+def partial_autocorrelation(df: DataFrame, lags: int, x: str = "x") -> DataFrame:
+    """(code, lag, partial_autocorrelation): for each k the last coefficient of a regression on the k values before,
+    null where no row has them. Sums of products by code, in one aggregation, are all that is solved."""
     order = Window.partitionBy(CODE).orderBy(SEQ)
-    rows = df.select(x, *[F.lag(x, k).over(order).alias(f"_l{k}") for k in range(1, lags + 1)])
-    out = []
+    value = F.col(x).cast("double")
+    rows = df.select(CODE, SEQ, F.when(~F.isnan(value), value).alias("_l0")).select(CODE, *[F.lag("_l0", k).over(order).alias(f"_l{k}") for k in range(lags + 1)])
+    sums = []
     for k in range(1, lags + 1):
-        names = [f"_l{i}" for i in range(1, k + 1)]
-        _, sums = cross_products(rows.dropna(subset=[x, *names]), [*names, x])
-        out.append(float((np.linalg.pinv(sums[:-1, :-1]) @ sums[:-1, -1])[-1]))
-    return out
+        full = reduce(lambda a, b: a & b, [F.col(f"_l{i}").isNotNull() for i in range(k + 1)])
+        terms = [F.lit(1.0), *[F.col(f"_l{i}") for i in range(1, k + 1)], F.col("_l0")]
+        sums.append(F.array(*[F.coalesce(F.sum(F.when(full, terms[i] * terms[j])), F.lit(0.0)) for i in range(k + 2) for j in range(i, k + 2)]))
+    one = rows.groupBy(CODE).agg(*[s.alias(f"s{k}") for k, s in enumerate(sums, 1)])
+
+    def solve(batches):
+        for batch in batches:
+            for k in range(1, lags + 1):
+                upper, found = np.triu_indices(k + 2), []
+                for flat in batch.column(f"s{k}").to_pylist():
+                    m = np.zeros((k + 2, k + 2))
+                    m[upper] = flat
+                    m.T[upper] = flat
+                    found.append(float((np.linalg.pinv(m[:-1, :-1]) @ m[:-1, -1])[-1]) if m[0, 0] else None)
+                yield pa.RecordBatch.from_arrays([batch.column(CODE), pa.array([k] * len(found), pa.int32()), pa.array(found, pa.float64())], names=[CODE, "lag", "partial_autocorrelation"])
+
+    return one.mapInArrow(solve, f"{CODE} {one.schema[CODE].dataType.simpleString()}, lag int, partial_autocorrelation double")
 
 
 def series_report(df: DataFrame, x: str = "x", by: Sequence[str] = (CODE,)) -> DataFrame:

@@ -497,8 +497,7 @@ def _(spark, d):
 
 @query("partial_autocorrelation")
 def _(spark, d):
-    values = metrics.partial_autocorrelation(bars(spark, d).filter("code = 'O'"), 4)
-    return spark.createDataFrame(list(enumerate(values, 1)), "lag long, partial_autocorrelation double")
+    return metrics.partial_autocorrelation(bars(spark, d), 4)
 
 
 @query("series_report", f"WITH {TICKS} SELECT code, count(*) AS n, count(x) AS n_values, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, min(x) AS min, round(median(x), 6) AS median, max(x) AS max, round(skewness(x), 6) AS skew, round(kurtosis(x), 5) AS kurtosis FROM ticks GROUP BY code")

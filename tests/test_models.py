@@ -195,3 +195,22 @@ def test_streams_equal_batch(spark, tmp_path):
     q.stop()
     got = {(r.code, r.seq): r.confirmed for r in spark.table("confirmed").collect()}
     assert got == {(r.code, r.seq): r.confirmed for r in backtest.confirm(rows, 1).collect()}
+
+
+def test_partial_autocorrelation_of_all_codes(spark, small):
+    from kestrova.queries import QUERIES, bars
+
+    got = {(r.code, r.lag): r.partial_autocorrelation for r in QUERIES["partial_autocorrelation"](spark, small).collect()}
+    rows = bars(spark, small).select("code", "seq", "x").toPandas()
+    assert {c for c, _ in got} == set(rows.code) and len(got) == 4 * rows.code.nunique() > 4
+    for code, own in rows.sort_values("seq").groupby("code"):
+        x = own.x.to_numpy(float)
+        for k in range(1, 5):
+            past = np.stack([np.ones(len(x) - k), *[x[k - i : len(x) - i] for i in range(1, k + 1)]], axis=1)
+            assert got[code, k] == pytest.approx(np.linalg.lstsq(past, x[k:], rcond=None)[0][-1], abs=1e-6)
+
+
+def test_partial_autocorrelation_of_short_codes(spark):
+    df = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 1.0), ("b", 1, 2.0), ("b", 2, None)], "code string, seq long, x double")
+    got = {(r.code, r.lag): r.partial_autocorrelation for r in metrics.partial_autocorrelation(df, 2).collect()}
+    assert got[("a", 1)] is got[("a", 2)] is got[("b", 2)] is None and math.isfinite(got[("b", 1)])
