@@ -591,7 +591,7 @@ def _(spark, d):
 @query("directional_open_to_close")
 def _(spark, d):
     rows = daily(spark, d)
-    return OpenToClose(kind="tree", grid={"maxDepth": [2]}).fit(rows).signals(rows).select(CODE, "date", "signal")
+    return OpenToClose(kind="tree", grid={"maxDepth": [2, 3, 5], "minInstancesPerNode": [1, 10]}).fit(rows).signals(rows).select(CODE, "date", "signal")
 
 
 # -- options, codependence, simulation -------------------------------------------------

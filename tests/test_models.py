@@ -214,3 +214,19 @@ def test_partial_autocorrelation_of_short_codes(spark):
     df = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 1.0), ("b", 1, 2.0), ("b", 2, None)], "code string, seq long, x double")
     got = {(r.code, r.lag): r.partial_autocorrelation for r in metrics.partial_autocorrelation(df, 2).collect()}
     assert got[("a", 1)] is got[("a", 2)] is got[("b", 2)] is None and math.isfinite(got[("b", 1)])
+
+
+def test_open_to_close_learns_from_balanced_draws(spark, small, monkeypatch):
+    from kestrova import queries
+    from kestrova.plans import directional
+
+    searched, fitted = [], []
+    search, fit = directional.grid_search, Classifier.fit
+    monkeypatch.setattr(directional, "grid_search", lambda rows, chosen, kind, grid, **k: searched.append(search(rows, chosen, kind, {n: v[:2] for n, v in list(grid.items())[:1]}, **k)) or searched[-1])
+    monkeypatch.setattr(Classifier, "fit", lambda self, rows, *a, **k: fitted.append(rows.select("code", "seq", "label").toPandas()) or fit(self, rows, *a, **k))
+    out = queries.QUERIES["directional_open_to_close"](spark, small)
+    learnt = fitted[-1]
+    counts = learnt.label.value_counts()
+    assert len(searched) == 1 and len(searched[0][2]) > 1
+    assert len(counts) == 3 and counts.max() < 1.15 * counts.min()
+    assert learnt.duplicated(["code", "seq"]).any() and out.count() > 0
