@@ -67,7 +67,9 @@ class OpenToClose:
         rows, names = self._training(bars)
         safe = {n: f"f{k}" for k, n in enumerate(names)}
         rows = rows.select(CODE, SEQ, "label", "intraday", *[F.col(f"`{n}`").alias(s) for n, s in safe.items()]).dropna()
-        rows = self._resampled(rows).persist()
+        rows = self._resampled(rows)
+        # the search plans many jobs on these rows: they don't carry the features' windows along
+        rows = (rows.checkpoint() if rows.sparkSession.conf.get("spark.checkpoint.dir", None) else rows).persist()
         try:
             self.names = safe
             drop = set(correlated(rows, list(safe.values()), self.max_correlation))
