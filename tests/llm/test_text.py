@@ -173,3 +173,13 @@ def test_scores(spark, docs):
     assert math.isfinite(out[7].log_likelihood)
     empty = lm_score.train_network(docs.limit(0), rounds=1)
     assert lm_score.pseudo_likelihood(edges(spark), empty).count() == len(EDGES) + 1
+
+
+def test_short_and_punctuated_secrets(spark, docs):
+    scanner = secrets.train_scanner(docs)
+    prose = [t for x in docs.filter("lang = 'en' and n_chars > 300").limit(12).collect() for t in [x.text[:150]]]
+    planted = [('password = "Summer2024!"', "Summer2024!"), ("DB_PASS=hunter2xyz", "hunter2xyz"), ("api_key=9f8e7d6c5b", "9f8e7d6c5b"), ('{"pwd": "p@ssW0rd#99!qZ"}', "p@ssW0rd#99!qZ")]
+    rows = [(i, f"{t} {planted[i % 4][0]} {t}") for i, t in enumerate(prose)]
+    got = {x.doc_id: x.findings for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), scanner).collect()}
+    assert sum(planted[i % 4][1] in {f.value for f in got[i]} for i, _ in rows) >= 0.9 * len(rows)
+    assert all(t[f.start : f.end] == f.value for i, t in rows for f in got[i])
