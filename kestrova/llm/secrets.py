@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import written
 from .textvec import _ALNUM, Words, hashes, mix, pieces, raw, words
 
 #: Words before a secret, words before other strings of the kind, issuers' prefixes.
@@ -29,7 +30,7 @@ _HEX[[ord(c) for c in "0123456789abcdefABCDEF"]] = True
 _QUOTES, _SIGNS, _STOPS, _TAIL = (np.isin(np.arange(256), [ord(c) for c in chars]) for chars in ("\"'`", "=:>", ",;", ".,;:)]}"))
 _BLANK = np.isin(np.arange(256), [9, 32])
 _END = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32]) | _QUOTES
-_GRAM_BITS = 20
+_GRAM_BITS = 22
 #: Kinds of candidates: a run, a value after a secret word to its end, and to its first separator.
 _IN_RUN, _TO_END, _TO_STOP = range(3)
 
@@ -263,9 +264,9 @@ class Scanner(NamedTuple):
     forest: Forest
 
 
-def train_scanner(docs: DataFrame, findings: tuple[list[str], list[int]] | None = None, text_col: str = "text", max_docs: int = 300, least_count: int = 100, seed: int = 0) -> Scanner:
-    """A scanner: a dictionary of the four-letter strings that occur ``least_count`` times or
-    more in words of letters of all documents (2**20 bits), and a forest trained
+def train_scanner(docs: DataFrame, findings: tuple[list[str], list[int]] | None = None, text_col: str = "text", max_docs: int = 300, least_share: float = 2e-6, seed: int = 0) -> Scanner:
+    """A scanner: a dictionary of the four-byte strings that are ``least_share`` or
+    more of all those in words of all documents, so it doesn't depend on how many there are (2**22 bits), and a forest trained
     on labelled findings (texts, labels); by default ``example_findings`` in prose of about ``max_docs``
     documents of under 100 kB. Null texts teach nothing."""
     source = docs.select(F.col(text_col).alias("text")).filter("text is not null")
@@ -275,14 +276,15 @@ def train_scanner(docs: DataFrame, findings: tuple[list[str], list[int]] | None
         for batch in batches:
             for texts in pieces(batch.column(0)):
                 w = words(texts, bare=True)
-                gram, _ = _grams(w.data, w.start, np.minimum(w.end, w.start + 24))
-                total += np.bincount(gram, minlength=len(total))
+                gram, n = np.unique(_grams(w.data, w.start, w.end)[0], return_counts=True)
+                total[gram] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
 
-    often = source.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_count)
-    dictionary = np.zeros(1 << _GRAM_BITS)
-    dictionary[[r.gram for r in often.select("gram").collect()]] = 1.0
+    counted = written(source.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    windows = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    dictionary = np.zeros(1 << _GRAM_BITS, dtype=bool)
+    dictionary[[r.gram for r in counted.filter(F.col("n") >= least_share * windows).select("gram").collect()]] = True
     n = source.count()
     drawn = source.filter((F.abs(F.xxhash64("text") % 1000000) < 1000000 * max_docs / max(n, 1)) & (F.octet_length("text") < 100000)).limit(2 * max_docs)
     texts, labels = example_findings(sorted(r.text for r in drawn.collect()), seed=seed) if findings is None else findings

@@ -183,3 +183,14 @@ def test_short_and_punctuated_secrets(spark, docs):
     got = {x.doc_id: x.findings for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), scanner).collect()}
     assert sum(planted[i % 4][1] in {f.value for f in got[i]} for i, _ in rows) >= 0.9 * len(rows)
     assert all(t[f.start : f.end] == f.value for i, t in rows for f in got[i])
+
+
+def test_dictionary_does_not_depend_on_the_number_of_copies(spark, docs):
+    few = docs.limit(100).select("text")
+    many = few.crossJoin(spark.range(30).select("id")).select("text")
+    a, b = (secrets.train_scanner(x, findings=(["a password=1f9Kq7Lz0"], [1])).dictionary for x in (few, many))
+    assert a.any() and (a == b).all()
+    long = spark.createDataFrame([("a" * 30 + "bcde",)], "text string")
+    data = np.frombuffer(b"bcde", dtype=np.uint8)
+    gram, _ = secrets._grams(data, np.array([0]), np.array([4]))
+    assert secrets.train_scanner(long, findings=(["a password=1f9Kq7Lz0"], [1])).dictionary[gram].all()
