@@ -92,7 +92,7 @@ def _learn(net: Network, ids: np.ndarray, around: np.ndarray, memory: dict[str,
     n = len(ids)
     h = _hidden(net, around)
     group = ids // _EACH
-    slope = {k: np.zeros_like(getattr(net, k)) for k in _WEIGHTS}
+    slope = {k: np.zeros_like(getattr(net, k)) for k in _WEIGHTS if k != "embed"}
     p = np.exp(_log_softmax(h @ net.to_class + net.class_bias))
     p[np.arange(n), group] -= 1
     p /= n
@@ -112,19 +112,28 @@ def _learn(net: Network, ids: np.ndarray, around: np.ndarray, memory: dict[str,
     slope["base"] = back.sum(0)
     for k in range(2 * _WINDOW):
         slope["mix"][k] = net.embed[around[:, k]].T @ back
-        np.add.at(slope["embed"], around[:, k], back @ net.mix[k].T)
-    slope["embed"][_SIZE] = 0
+    places = around.T.ravel()
+    order = np.argsort(places, kind="stable")
+    at, first = np.unique(places[order], return_index=True)
+    own = np.add.reduceat(np.concatenate([back @ net.mix[k].T for k in range(2 * _WINDOW)])[order], first)
+    own[at == len(net.embed) - 1] = 0
     new = {}
     for k, g in slope.items():
         memory[k] = memory.get(k, 1e-8) + g * g
         new[k] = (getattr(net, k) - rate * g / np.sqrt(memory[k])).astype(np.float32)
+    # only the words met here have a slope
+    if "embed" not in memory:
+        memory["embed"] = np.full_like(net.embed, 1e-8)
+    memory["embed"][at] += own * own
+    new["embed"] = net.embed.copy()
+    new["embed"][at] -= rate * own / np.sqrt(memory["embed"][at])
     return net._replace(**new)
 
 
-def train_network(docs: DataFrame, text_col: str = "text", share: float = 0.0625, rounds: int = 2, width: int = 16, batch: int = 2048, rate: float = 0.05, seed: int = 5) -> Network:
+def train_network(docs: DataFrame, text_col: str = "text", share: float = 0.5, rounds: int = 2, width: int = 16, batch: int = 2048, rate: float = 0.05, seed: int = 5) -> Network:
     """A network trained on the corpus. The vocabulary is the 4032 commonest words of
     all documents. In each round every task trains a copy on its part of a fresh ``share``
-    of the documents (by hash; so training grows with the corpus), whole texts each, and the copies'
+    of the documents (by hash; by default two rounds learn from every document, once), whole texts each, and the copies'
     mean by words seen is the next round's start. Weights are added up in blocks on
     the executors: the driver gets one sum of each. Null texts teach nothing."""
     source = docs.select(F.col(text_col).alias("text")).filter("text is not null")

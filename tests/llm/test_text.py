@@ -194,3 +194,17 @@ def test_dictionary_does_not_depend_on_the_number_of_copies(spark, docs):
     data = np.frombuffer(b"bcde", dtype=np.uint8)
     gram, _ = secrets._grams(data, np.array([0]), np.array([4]))
     assert secrets.train_scanner(long, findings=(["a password=1f9Kq7Lz0"], [1])).dictionary[gram].all()
+
+
+def test_training_covers_all_documents(spark, monkeypatch):
+    texts = spark.createDataFrame([(f"a{i} b{i} c",) for i in range(200)], "text string")
+    seen, real = [], type(texts).mapInArrow
+
+    def mapped(self, function, schema, *a, **k):
+        if function.__name__ == "train":
+            seen.extend(r.text for r in self.collect())
+        return real(self, function, schema, *a, **k)
+
+    monkeypatch.setattr(type(texts), "mapInArrow", mapped)
+    lm_score.train_network(texts)
+    assert sorted(seen) == sorted(f"a{i} b{i} c" for i in range(200))
