@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import written
 from .textvec import hashes, pieces, words
 
-#: Words of the vocabulary, and how the output is split: a class, then a word of the class.
+#: Least words of the vocabulary, and how the output is split: a class, then a word of the class.
 _CLASSES, _EACH = 64, 64
 _SIZE = _CLASSES * _EACH
 #: The rarest class stands for all other words, by hash.
 _KNOWN = _SIZE - _EACH
 _WINDOW = 2
+#: Counts of the commonest words out of the vocabulary that are broadcast; others are joined.
+_HEAD = 1 << 18
 
 
 class Network(NamedTuple):
@@ -34,29 +38,40 @@ class Network(NamedTuple):
     class_bias: np.ndarray
     to_word: np.ndarray
     word_bias: np.ndarray
-    #: log of the distinct words of the corpus that one number of the rarest class stands for
-    rare: float = 0.0
+    #: log of the words of the corpus that each number of the rarest class stands for, with one not in it
+    rare: float | np.ndarray = 0.0
+    #: sorted hashes of commoner words out of the vocabulary, and the logs of their counts
+    head: np.ndarray = np.zeros(0, np.uint64)
+    often: np.ndarray = np.zeros(0, np.float32)
+    #: (term, n) of the others that occur twice or more, if there are any; stays on the driver
+    tail: DataFrame | None = None
 
 
-_WEIGHTS = Network._fields[2:-1]
+_WEIGHTS = Network._fields[2:9]
 
 
-def _numbers(texts: pa.Array, terms: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word numbers, text of each, numbers around each): the places before the first
-    word of a text and after its last hold number ``_SIZE``."""
+def side_of(distinct: int) -> int:
+    """Classes, and words of each: the vocabulary grows as the square root of the corpus's distinct words, 64 x 64 at least."""
+    return max(_CLASSES, math.ceil(math.sqrt(4 * math.sqrt(distinct))))
+
+
+def _numbers(texts: pa.Array, net: Network) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word numbers, text of each, numbers around each, word hashes): the places before the first
+    word of a text and after its last hold the number after all words'."""
+    each, size = net.to_word.shape[2], len(net.embed) - 1
     w = words(texts)
     h = hashes(w)
-    ids = _KNOWN + (h >> np.uint64(40)).astype(np.int64) % _EACH
-    if len(terms):
-        at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-        ids = np.where(terms[at] == h, number[at], ids)
-    around = np.full((len(ids), 2 * _WINDOW), _SIZE, dtype=np.int64)
+    ids = size - each + (h >> np.uint64(40)).astype(np.int64) % each
+    if len(net.terms):
+        at = np.minimum(np.searchsorted(net.terms, h), len(net.terms) - 1)
+        ids = np.where(net.terms[at] == h, net.number[at], ids)
+    around = np.full((len(ids), 2 * _WINDOW), size, dtype=np.int64)
     for k in range(1, _WINDOW + 1):
         if len(ids) > k:
             same = w.text[k:] == w.text[:-k]
-            around[k:, _WINDOW - k] = np.where(same, ids[:-k], _SIZE)
-            around[:-k, _WINDOW + k - 1] = np.where(same, ids[k:], _SIZE)
-    return ids, w.text, around
+            around[k:, _WINDOW - k] = np.where(same, ids[:-k], size)
+            around[:-k, _WINDOW + k - 1] = np.where(same, ids[k:], size)
+    return ids, w.text, around, h
 
 
 def _hidden(net: Network, around: np.ndarray) -> np.ndarray:
@@ -69,29 +84,31 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 
 
 def log_probabilities(net: Network, ids: np.ndarray, around: np.ndarray, at_once: int = 1 << 15) -> np.ndarray:
-    """log P(word | the words around it) of each place. A word out of the vocabulary has an even
-    part of its number's probability: all words of the corpus together have 1."""
+    """log P(word | the words around it) of each place. A word out of the vocabulary has the part
+    of its number's probability that one occurrence has; ``pseudo_likelihood`` adds the log of its count."""
     out = np.empty(len(ids), dtype=np.float64)
+    classes, each = net.to_word.shape[0], net.to_word.shape[2]
+    rare = np.broadcast_to(net.rare, each)
     for low in range(0, len(ids), at_once):
         own, h = ids[low : low + at_once], _hidden(net, around[low : low + at_once])
-        group = own // _EACH
+        group = own // each
         every = np.arange(len(own))
         value = _log_softmax(h @ net.to_class + net.class_bias)[every, group]
         order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(_CLASSES + 1))
-        for c in range(_CLASSES):
+        ends = np.searchsorted(group[order], np.arange(classes + 1))
+        for c in range(classes):
             rows = order[ends[c] : ends[c + 1]]
             if len(rows):
-                value[rows] += _log_softmax(h[rows] @ net.to_word[c] + net.word_bias[c])[np.arange(len(rows)), own[rows] % _EACH]
-        out[low : low + at_once] = value - net.rare * (own >= _KNOWN)
+                value[rows] += _log_softmax(h[rows] @ net.to_word[c] + net.word_bias[c])[np.arange(len(rows)), own[rows] % each]
+        out[low : low + at_once] = value - rare[own % each] * (own >= (classes - 1) * each)
     return out
 
 
 def _learn(net: Network, ids: np.ndarray, around: np.ndarray, memory: dict[str, np.ndarray], rate: float) -> Network:
     """One step by the gradient of the mean log-probability, scaled by past gradients (Adagrad)."""
-    n = len(ids)
+    n, classes, each = len(ids), net.to_word.shape[0], net.to_word.shape[2]
     h = _hidden(net, around)
-    group = ids // _EACH
+    group = ids // each
     slope = {k: np.zeros_like(getattr(net, k)) for k in _WEIGHTS if k != "embed"}
     p = np.exp(_log_softmax(h @ net.to_class + net.class_bias))
     p[np.arange(n), group] -= 1
@@ -99,12 +116,12 @@ def _learn(net: Network, ids: np.ndarray, around: np.ndarray, memory: dict[str,
     slope["to_class"], slope["class_bias"] = h.T @ p, p.sum(0)
     back = p @ net.to_class.T
     order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(_CLASSES + 1))
-    for c in range(_CLASSES):
+    ends = np.searchsorted(group[order], np.arange(classes + 1))
+    for c in range(classes):
         rows = order[ends[c] : ends[c + 1]]
         if len(rows):
             p = np.exp(_log_softmax(h[rows] @ net.to_word[c] + net.word_bias[c]))
-            p[np.arange(len(rows)), ids[rows] % _EACH] -= 1
+            p[np.arange(len(rows)), ids[rows] % each] -= 1
             p /= n
             slope["to_word"][c], slope["word_bias"][c] = h[rows].T @ p, p.sum(0)
             back[rows] += p @ net.to_word[c].T
@@ -131,8 +148,8 @@ def _learn(net: Network, ids: np.ndarray, around: np.ndarray, memory: dict[str,
 
 
 def train_network(docs: DataFrame, text_col: str = "text", share: float = 0.5, rounds: int = 2, width: int = 16, batch: int = 2048, rate: float = 0.05, seed: int = 5) -> Network:
-    """A network trained on the corpus. The vocabulary is the 4032 commonest words of
-    all documents. In each round every task trains a copy on its part of a fresh ``share``
+    """A network trained on the corpus. The vocabulary is the commonest words of
+    all documents, as many as ``side_of`` says. In each round every task trains a copy on its part of a fresh ``share``
     of the documents (by hash; by default two rounds learn from every document, once), whole texts each, and the copies'
     mean by words seen is the next round's start. Weights are added up in blocks on
     the executors: the driver gets one sum of each. Null texts teach nothing."""
@@ -145,28 +162,50 @@ def train_network(docs: DataFrame, text_col: str = "text", share: float = 0.5, r
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
 
     often = written(source.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "words")
-    top = often.orderBy(F.desc("n"), "term").limit(_KNOWN).collect()
-    total, distinct = often.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    terms, counts = np.array([r.term for r in top], dtype=np.int64).view(np.uint64), np.zeros(_SIZE)
-    counts[: len(top)] = [r.n for r in top]
-    counts[_KNOWN:] = max(total - counts.sum(), 0) / _EACH
+    distinct = often.count()
+    side = side_of(distinct)
+    size = side * side
+    most = size - side
+    # the least count of the words that the driver gets, so that they are bounded
+    least, left = 1, most + _HEAD
+    for n, many in sorted(((r.n, r.many) for r in often.groupBy("n").agg(F.count(F.lit(1)).alias("many")).collect()), reverse=True):
+        left -= many
+        if left < 0:
+            least = n + 1
+            break
+    top = often.filter(F.col("n") >= least).toArrow()
+    hashed, count_of = top.column("term").to_numpy().astype(np.int64), top.column("n").to_numpy().astype(np.int64)
+    order = np.lexsort((hashed, -count_of))
+    hashed, count_of = hashed[order].view(np.uint64), count_of[order]
+    terms, counts = hashed[:most], np.zeros(size)
+    counts[: len(terms)] = count_of[:most]
+    number = lambda h: (h >> np.uint64(40)).astype(np.int64) % side
+    for r in often.groupBy((F.shiftrightunsigned("term", 40) % side).alias("b")).agg(F.sum("n").alias("n")).collect():
+        counts[most + r.b] = r.n
+    counts[most:] -= np.bincount(number(terms), counts[: len(terms)], side)
+    head, head_n = hashed[most:], count_of[most:]
+    by_hash = np.argsort(head)
+    tail = often.filter((F.col("n") < least) & (F.col("n") > 1)) if least > 2 else None
     order = np.argsort(terms)
     rng = np.random.default_rng(seed)
     near = lambda *shape: (rng.normal(size=shape) / np.sqrt(width)).astype(np.float32)
-    by_class = counts.reshape(_CLASSES, _EACH) + 0.5
-    embed = near(_SIZE + 1, width)
-    embed[_SIZE] = 0
-    net = Network(terms[order], order, embed, near(2 * _WINDOW, width, width), np.zeros(width, np.float32), near(width, _CLASSES) * 0, np.log(by_class.sum(1) / by_class.sum()).astype(np.float32), near(_CLASSES, width, _EACH) * 0, np.log(by_class / by_class.sum(1, keepdims=True)).astype(np.float32), float(np.log(max((distinct - len(top)) / _EACH, 1.0))))
+    by_class = counts.reshape(side, side) + 0.5
+    embed = near(size + 1, width)
+    embed[size] = 0
+    net = Network(
+        terms[order], order, embed, near(2 * _WINDOW, width, width), np.zeros(width, np.float32), near(width, side) * 0, np.log(by_class.sum(1) / by_class.sum()).astype(np.float32), near(side, width, side) * 0, np.log(by_class / by_class.sum(1, keepdims=True)).astype(np.float32),
+        np.log(counts[most:] + 1), head[by_hash], np.log(head_n[by_hash]).astype(np.float32), tail,
+    )
     flat = lambda x: np.concatenate([getattr(x, k).ravel() for k in _WEIGHTS])
     step = 1 << 14
     for turn in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast(net)
+        shared = docs.sparkSession.sparkContext.broadcast(net._replace(tail=None))
 
         def train(batches):
             net, memory, seen = shared.value, {}, 0
             for part in batches:
                 for texts in pieces(part.column(0), 1 << 20):
-                    ids, _, around = _numbers(texts, net.terms, net.number)
+                    ids, _, around, _ = _numbers(texts, net)
                     mixed = np.random.default_rng(seed).permutation(len(ids))
                     for low in range(0, len(ids), batch):
                         own = mixed[low : low + batch]
@@ -211,25 +250,43 @@ def pseudo_likelihood(docs: DataFrame, net: Network, id_col: str = "doc_id", tex
 
     Every word of the whole text is predicted from the two words on each side of it; log_likelihood is
     the sum of the logarithms of these conditional probabilities, per_token their mean.
-    Words out of the vocabulary fall into 64 numbers by hash, and share a number's probability
-    evenly among the distinct words of the corpus that it stands for. Null and empty texts, and
+    Words out of the vocabulary fall into numbers by hash, and share a number's probability
+    by their counts in the corpus; a word that isn't in it counts as one that occurs once. Null and empty texts, and
     white space alone, have 0 tokens, log_likelihood 0 and null per_token. Ids aren't
     looked at; equal texts have equal scores. No rows give no rows. Other columns
     are ignored, whatever their names."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = docs.sparkSession.sparkContext.broadcast(net._replace(tail=None))
+    more = net.tail is not None
 
     def run(batches):
         net = shared.value
+        known = len(net.embed) - 1 - net.to_word.shape[2]
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             at = 0
             for texts in pieces(batch.column(1), 1 << 21):
                 own = batch.column(0).slice(at, len(texts))
                 at += len(texts)
-                ids, text, around = _numbers(texts, net.terms, net.number)
-                total = np.bincount(text, log_probabilities(net, ids, around), len(texts)).astype(np.float64)
+                ids, text, around, h = _numbers(texts, net)
+                value = log_probabilities(net, ids, around)
+                other = np.flatnonzero(ids >= known)
+                if len(net.head) and len(other):
+                    place = np.minimum(np.searchsorted(net.head, h[other]), len(net.head) - 1)
+                    found = net.head[place] == h[other]
+                    value[other[found]] += net.often[place[found]]
+                    other = other[~found]
+                total = np.bincount(text, value, len(texts)).astype(np.float64)
                 n = np.bincount(text, minlength=len(texts)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([own, pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)], names=["id", "n_tokens", "log_likelihood", "per_token"])
+                ends = np.searchsorted(text[other], np.arange(len(texts) + 1)).astype(np.int32)
+                rare = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[other].view(np.int64))) if more else pa.nulls(len(texts), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(texts))), own, pa.array(n), pa.array(total), rare], names=["row", "id", "n_tokens", "log_likelihood", "rare"])
+                row += len(texts)
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, n_tokens long, log_likelihood double, per_token double").withColumnRenamed("id", id_col)
+    rows = source.mapInArrow(run, f"row long, id {kind}, n_tokens long, log_likelihood double, rare array<long>")
+    if more:  # a row's number is written with it, so a task that runs again can't change it
+        rows = written(rows, "scored")
+        part = rows.select("row", F.explode("rare").alias("term")).join(net.tail, "term").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+        rows = rows.drop("rare").join(part, "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("more", F.lit(0.0)))
+    return rows.select(F.col("id").alias(id_col), "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("per_token"))

@@ -208,3 +208,19 @@ def test_training_covers_all_documents(spark, monkeypatch):
     monkeypatch.setattr(type(texts), "mapInArrow", mapped)
     lm_score.train_network(texts)
     assert sorted(seen) == sorted(f"a{i} b{i} c" for i in range(200))
+
+
+def test_words_out_of_the_vocabulary_share_by_count(spark, monkeypatch):
+    assert lm_score.side_of(10**8) > lm_score.side_of(10**7) > lm_score.side_of(1000) == 64
+    texts = [f"w{i} w{i} w{i} w{i} w{i}" for i in range(5000)] + ["few few few", "once"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame(list(enumerate(["few", "once", "never"])), "doc_id long, text string")
+    for head in (1 << 18, 0):  # counts that are broadcast, or joined
+        monkeypatch.setattr(lm_score, "_HEAD", head)
+        net = lm_score.train_network(frame, width=4, rounds=0)
+        assert (net.tail is None) == (head > 0)
+        got = {r.doc_id: r for r in lm_score.pseudo_likelihood(asked, net).collect()}
+        number = hashes(words(pa.array(["few", "once"]))) >> np.uint64(40)
+        bias = net.word_bias[-1][(number % np.uint64(net.to_word.shape[2])).astype(int)] - net.rare[(number % np.uint64(net.to_word.shape[2])).astype(int)]
+        assert got[0].log_likelihood - got[1].log_likelihood == pytest.approx(bias[0] - bias[1] + math.log(3), abs=1e-4)
+        assert all(r.per_token == r.log_likelihood and r.n_tokens == 1 for r in got.values())
