@@ -2,7 +2,8 @@
 
 Each labeller takes a DataFrame of (code, seq, x) and returns it with a column
 ``label``: 1, 0 or -1. Nulls in x are left out first, so positions count the rows
-that have a value; ties keep the order of seq.
+that have a value; ties keep the order of seq. A return from a price of zero to
+another is infinite: it crosses any barrier, and windows that hold it have no volatility.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from kestrova.functions.fold import fold
-from kestrova.series import CODE, SEQ, Staged
+from kestrova.series import CODE, SEQ, Staged, relative
+
 
 def _order() -> WindowSpec:
     return Window.partitionBy(CODE).orderBy(SEQ)
@@ -36,10 +38,16 @@ def length_filter(df: DataFrame, label: str, window: int) -> DataFrame:
     return runs.withColumn("_size", size).withColumn(label, F.when(F.col("_size") < window, 0).otherwise(F.col(label))).drop("_new", "_run", "_size")
 
 
+def _returns(s: Staged, x: str) -> Column:
+    """Returns from row to row: 0 at the start and from zero to zero, null from zero to another price."""
+    before = s.lag(x)
+    return F.when(before.isNull() | ((before == 0) & (F.col(x) == 0)), 0.0).otherwise(F.try_divide(F.col(x), before) - 1)
+
+
 def naive(df: DataFrame, threshold: float, vol_window: int, x: str = "x") -> DataFrame:
     """The last return against ``threshold`` deviations of the last ``vol_window`` returns."""
     s = Staged()
-    r = s.put(0, "_r", F.coalesce(F.try_divide(F.col(x), s.lag(x)) - 1, F.lit(0.0)))
+    r = s.put(0, "_r", _returns(s, x))
     vol = s.full(F.stddev_samp(r).over(s.T(vol_window)), r, s.T(vol_window), vol_window)
     df = _values(df, x)
     return s.apply(df, F.coalesce(_side(F.try_divide(F.col(r), vol), threshold), F.lit(0)).alias("label"))
@@ -50,11 +58,11 @@ def triple_barrier(df: DataFrame, upper: float, lower: float, vertical: int, vol
     which of them count depends on the label before: an automaton of three states.
     Its next state for each state is a column, and a code's rows are folded in order."""
     s = Staged()
-    r = s.put(0, "_r", F.coalesce(F.try_divide(F.col(x), s.lag(x)) - 1, F.lit(0.0)))
+    r = s.put(0, "_r", _returns(s, x))
     frame = s.T(vol_window)
     vol = s.full(F.stddev_samp(r).over(frame), r, frame, vol_window) * (vol_window**0.5)
     ahead = s.A(vertical)
-    up, down = (f(x).over(ahead) / F.col(x) - 1 for f in (F.max, F.min))
+    up, down = (relative(f(x).over(ahead) - F.col(x), F.col(x)) for f in (F.max, F.min))
     high, low, v = s.put(1, "_up", up), s.put(1, "_dn", down), s.put(1, "_vol", vol)
     rises = lambda b: F.col(high) > b * F.col(v)
     falls = lambda b: F.col(low) < -b * F.col(v)
@@ -66,7 +74,7 @@ def triple_barrier(df: DataFrame, upper: float, lower: float, vertical: int, vol
 def look_forward(df: DataFrame, window: int, min_trend: int, volatility_threshold: float, x: str = "x") -> DataFrame:
     """The return of the next ``window`` rows in its own trailing deviations; short runs become 0."""
     s = Staged()
-    ahead = s.put(0, "_ahead", s.lead(x, window) / F.col(x) - 1)
+    ahead = s.put(0, "_ahead", F.try_divide(s.lead(x, window), F.col(x)) - 1)
     vol = s.full(F.stddev_samp(ahead).over(s.T(window)), ahead, s.T(window), window)
     labelled = s.apply(_values(df, x), F.coalesce(_side(F.try_divide(F.col(ahead), vol), volatility_threshold), F.lit(0)).alias("label"))
     return length_filter(labelled, "label", min_trend)

@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from kestrova.functions.fold import fold
-from kestrova.series import CODE, SEQ, Staged
+from kestrova.series import CODE, SEQ, Staged, relative
+
 
 def _order() -> WindowSpec:
     return Window.partitionBy(CODE).orderBy(SEQ)
+
+
 #: Rules of an aggregation by name; first and last are by seq.
 RULES = {"first": lambda c: F.min_by(c, SEQ), "last": lambda c: F.max_by(c, SEQ), "max": F.max, "min": F.min, "sum": F.sum, "mean": F.avg, "count": F.count}
 OHLCV = {"open": "first", "high": "max", "low": "min", "close": "last", "volume": "sum"}
@@ -57,7 +60,8 @@ def decompose(bars: DataFrame, date: str = "date") -> DataFrame:
 
     A day opens with its first row and closes with its last. Intraday goes from open to close, overnight on
     to the next open, complete from open to the next open. The first day is as it is, the
-    later ones chained: each opens at the close before. The last day has no next one and drops out."""
+    later ones chained: each opens at the close before. The last day has no next one and drops out. A move from
+    a price of zero has no ratio: from it on, prices of its kind are null."""
     day = bars.groupBy(CODE, date).agg(F.min_by("open", SEQ).alias("o"), F.max_by("close", SEQ).alias("c"), F.max("high").alias("h"), F.min("low").alias("l"))
     order = Window.partitionBy(CODE).orderBy(date)
     day = day.withColumn("n", F.lead("o").over(order)).filter("n is not null")
@@ -65,15 +69,17 @@ def decompose(bars: DataFrame, date: str = "date") -> DataFrame:
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"), F.greatest(a, b, *([h] if h else [])).alias("h"), F.least(a, b, *([lo] if lo else [])).alias("l")) for k, (a, b, h, lo) in kinds.items()]))
     every = day.select(CODE, date, rows.alias("r")).select(CODE, date, "r.*")
     own = Window.partitionBy(CODE, "kind").orderBy(date)
-    chained = every.withColumn("_close", F.first("a").over(own) * F.product(F.col("b") / F.col("a")).over(own))
-    opened = chained.withColumn("_open", F.coalesce(F.lag("_close").over(own), F.col("a")))
-    scale = F.col("_open") / F.col("a")
+    ratio = F.try_divide(F.col("b"), F.col("a"))
+    chained = every.withColumn("_close", F.when(F.count_if(ratio.isNull()).over(own) == 0, F.first("a").over(own) * F.product(ratio).over(own)))
+    opened = chained.withColumn("_open", F.when(F.row_number().over(own) == 1, F.col("a")).otherwise(F.lag("_close").over(own)))
+    scale = F.try_divide(F.col("_open"), F.col("a"))
     return opened.select(CODE, date, "kind", F.col("_open").alias("open"), F.col("_close").alias("close"), (F.col("h") * scale).alias("high"), (F.col("l") * scale).alias("low"))
 
 
 def events(df: DataFrame, upper: float, vertical: int, vol_window: int, label: str = "label", price: str = "x") -> DataFrame:
     """(code, seq, label, price, volatility, start, end, event_returns) of each labelled row with a
-    volatility: where the next ``vertical`` rows end its event, and the return on its side, null if wrong."""
+    volatility: where the next ``vertical`` rows end its event, and the return on its side, null if wrong.
+    From a price of zero any rise is over the bound, and the return null."""
     s = Staged()
     r = s.put(0, "_r", F.try_divide(F.col(price), s.lag(price)) - 1)
     frame = s.T(vol_window)
@@ -87,11 +93,11 @@ def events(df: DataFrame, upper: float, vertical: int, vol_window: int, label: s
         "_hi": F.max(price).over(ahead), "_lo": F.min(price).over(ahead), "_last": F.last(price).over(ahead), "_to": F.max("start").over(ahead),
         "_hi_at": F.min_by("start", F.struct(-x, "start")).over(ahead), "_lo_at": F.min_by("start", F.struct(x, "start")).over(ahead),
     })
-    bound, final = F.col("volatility") * upper, F.col("_last") / x - 1
-    up, down = (F.col("_hi") - x) / x, (F.col("_lo") - x) / x
+    bound = F.col("volatility") * upper
+    final, up, down = (relative(F.col(c) - x, x) for c in ("_last", "_hi", "_lo"))
     end = F.when((F.col(label) == 1) & (up >= bound), F.col("_hi_at")).when((F.col(label) == -1) & (down <= -bound), F.col("_lo_at")).otherwise(F.col("_to"))
     gain = F.when(F.col(label) == 1, F.when(up < bound, F.when(final > 0, final)).otherwise(up)).when(F.col(label) == -1, F.when(down > -bound, F.when(final < 0, -final)).otherwise(-down)).otherwise(bound / 2)
-    return rows.select(CODE, SEQ, label, price, "volatility", "start", end.alias("end"), gain.alias("event_returns"))
+    return rows.select(CODE, SEQ, label, price, "volatility", "start", end.alias("end"), F.when(F.abs(gain) < float("inf"), gain).alias("event_returns"))
 
 
 def concurrency(rows: DataFrame, label: str = "label") -> DataFrame:
@@ -116,7 +122,7 @@ def sample_weights(df: DataFrame, upper: float, vertical: int, vol_window: int,
     rows = concurrency(events(df, upper, vertical, vol_window, label, price), label)
     own = Window.partitionBy(CODE)
     rows = rows.withColumn("_u", 1 / F.col("concurrent")).withColumn("_d", (F.col("start") + 1) / F.count(F.lit(1)).over(own))
-    share = lambda c: F.col(c) / F.sum(c).over(own)
+    share = lambda c: F.try_divide(F.col(c), F.sum(c).over(own))
     rows = rows.withColumn("_w", share("_u") * share("_d") * share("event_returns"))
     return rows.withColumn("sample_weight", F.try_divide(F.col("_w"), F.sum("_w").over(own))).drop("_u", "_d", "_w")
 

@@ -204,7 +204,13 @@ def _(spark, d):
 
 # -- labels ----------------------------------------------------------------------
 
-_RET = "(SELECT *, coalesce(x / lag(x) OVER (PARTITION BY code ORDER BY seq) - 1, 0) AS r FROM ticks)"
+_RET = "(SELECT *, CASE WHEN before IS NULL OR (before = 0 AND x = 0) THEN 0 ELSE x / nullif(before, 0) - 1 END AS r FROM (SELECT *, lag(x) OVER (PARTITION BY code ORDER BY seq) AS before FROM ticks))"
+
+
+def _relative(gap: str) -> str:
+    return f"CASE WHEN x <> 0 THEN ({gap}) / x WHEN ({gap}) > 0 THEN CAST('Infinity' AS DOUBLE) WHEN ({gap}) < 0 THEN CAST('-Infinity' AS DOUBLE) END"
+
+
 _RUNS = "runs AS (SELECT *, sum(n) OVER (PARTITION BY code ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN label = lag(label) OVER (PARTITION BY code ORDER BY seq) THEN 0 ELSE 1 END AS n FROM raw)), kept AS (SELECT code, seq, CASE WHEN count(*) OVER (PARTITION BY code, run) < {0} THEN 0 ELSE label END AS label FROM runs)"
 
 
@@ -213,7 +219,7 @@ def _(spark, d):
     return labels.naive(ticks(spark, d), 1.0, 10).select(CODE, SEQ, "label")
 
 
-_LF = f"{TICKS}, ahead AS (SELECT *, lead(x, 5) OVER (PARTITION BY code ORDER BY seq) / x - 1 AS a FROM ticks), raw AS (SELECT code, seq, coalesce(CASE WHEN z > 0.5 THEN 1 WHEN z < -0.5 THEN -1 ELSE 0 END, 0) AS label FROM (SELECT code, seq, CASE WHEN count(a) OVER p = 5 THEN a / nullif(stddev_samp(a) OVER p, 0) END AS z FROM ahead WINDOW p AS (PARTITION BY code ORDER BY seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)))"
+_LF = f"{TICKS}, ahead AS (SELECT *, lead(x, 5) OVER (PARTITION BY code ORDER BY seq) / nullif(x, 0) - 1 AS a FROM ticks), raw AS (SELECT code, seq, coalesce(CASE WHEN z > 0.5 THEN 1 WHEN z < -0.5 THEN -1 ELSE 0 END, 0) AS label FROM (SELECT code, seq, CASE WHEN count(a) OVER p = 5 THEN a / nullif(stddev_samp(a) OVER p, 0) END AS z FROM ahead WINDOW p AS (PARTITION BY code ORDER BY seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)))"
 
 
 @query("label_look_forward", f"WITH {_LF}, {_RUNS.format(2)} SELECT * FROM kept")
@@ -236,7 +242,7 @@ def _(spark, d):
     return labels.slope(ticks(spark, d), 5, 0.6, 2).select(CODE, SEQ, "label")
 
 
-@query("label_triple_barrier", f"""WITH RECURSIVE {TICKS}, ret AS {_RET}, v AS (SELECT code, seq, max(x) OVER f / x - 1 AS up, min(x) OVER f / x - 1 AS dn, CASE WHEN count(r) OVER t = 10 THEN stddev_samp(r) OVER t * sqrt(10) END AS vol FROM ret
+@query("label_triple_barrier", f"""WITH RECURSIVE {TICKS}, ret AS {_RET}, v AS (SELECT code, seq, {_relative('max(x) OVER f - x')} AS up, {_relative('min(x) OVER f - x')} AS dn, CASE WHEN count(r) OVER t = 10 THEN stddev_samp(r) OVER t * sqrt(10) END AS vol FROM ret
     {FRAMES}, f AS (PARTITION BY code ORDER BY seq ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
     walk AS (SELECT code, seq, CASE WHEN up > 0.5 * vol THEN 1 WHEN dn < -0.5 * vol THEN -1 ELSE 0 END AS label FROM v WHERE seq = 0
     UNION ALL SELECT v.code, v.seq, CASE walk.label WHEN 1 THEN CASE WHEN up > 0.5 * vol THEN 1 WHEN dn < -0.3 * vol THEN -1 ELSE 0 END WHEN -1 THEN CASE WHEN dn < -0.5 * vol THEN -1 WHEN up > 0.3 * vol THEN 1 ELSE 0 END ELSE CASE WHEN up > 0.5 * vol THEN 1 WHEN dn < -0.5 * vol THEN -1 ELSE 0 END END
@@ -294,9 +300,9 @@ def _(spark, d):
 @query("series_decomposition", f"""WITH {DAILY}, n AS (SELECT *, lead(open) OVER (PARTITION BY code ORDER BY date) AS nxt FROM daily),
     m AS (SELECT code, date, 'intraday' AS kind, open AS a, close AS b, high AS h, low AS l FROM n WHERE nxt IS NOT NULL UNION ALL SELECT code, date, 'overnight', close, nxt, greatest(close, nxt), least(close, nxt) FROM n WHERE nxt IS NOT NULL
     UNION ALL SELECT code, date, 'complete', open, nxt, greatest(open, nxt, high), least(open, nxt, low) FROM n WHERE nxt IS NOT NULL),
-    c AS (SELECT *, first_value(a) OVER o * exp(sum(ln(b / a)) OVER o) AS cl FROM m WINDOW o AS (PARTITION BY code, kind ORDER BY date ROWS UNBOUNDED PRECEDING)),
-    p AS (SELECT *, coalesce(lag(cl) OVER (PARTITION BY code, kind ORDER BY date), a) AS op FROM c)
-    SELECT code, date, kind, round(ln(op), 6) AS log_open, round(ln(cl), 6) AS log_close, round(ln(h * op / a), 6) AS log_high, round(ln(l * op / a), 6) AS log_low FROM p""")
+    c AS (SELECT *, CASE WHEN count(nullif(a, 0)) OVER o = count(*) OVER o THEN first_value(a) OVER o * product(b / nullif(a, 0)) OVER o END AS cl, row_number() OVER o AS n FROM m WINDOW o AS (PARTITION BY code, kind ORDER BY date ROWS UNBOUNDED PRECEDING)),
+    p AS (SELECT *, CASE WHEN n = 1 THEN a ELSE lag(cl) OVER (PARTITION BY code, kind ORDER BY date) END AS op FROM c), s AS (SELECT *, op / nullif(a, 0) AS f FROM p)
+    SELECT code, date, kind, round(ln(CASE WHEN op > 0 THEN op END), 6) AS log_open, round(ln(CASE WHEN cl > 0 THEN cl END), 6) AS log_close, round(ln(CASE WHEN h * f > 0 THEN h * f END), 6) AS log_high, round(ln(CASE WHEN l * f > 0 THEN l * f END), 6) AS log_low FROM s""")
 def _(spark, d):
     out = sampling.decompose(daily(spark, d))
     return out.select(CODE, "date", "kind", *[F.round(F.log(c), 6).alias(f"log_{c}") for c in ("open", "close", "high", "low")])
@@ -307,13 +313,13 @@ def _labelled(spark, d):
 
 
 _EVENTS = f"""{TICKS}, lab AS (SELECT code, seq, x, r, coalesce(CASE WHEN z > 1 THEN 1 WHEN z < -1 THEN -1 ELSE 0 END, 0) AS label FROM (SELECT *, CASE WHEN count(r) OVER t = 10 THEN r / nullif(stddev_samp(r) OVER t, 0) END AS z FROM {_RET} {FRAMES})),
-    ret2 AS (SELECT code, seq, x, label, x / lag(x) OVER (PARTITION BY code ORDER BY seq) - 1 AS r2 FROM lab),
+    ret2 AS (SELECT code, seq, x, label, x / nullif(lag(x) OVER (PARTITION BY code ORDER BY seq), 0) - 1 AS r2 FROM lab),
     vol AS (SELECT *, CASE WHEN count(r2) OVER t = 10 THEN stddev_samp(r2) OVER t * sqrt(10) END AS volatility FROM ret2 {FRAMES}),
     used AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY seq) - 1 AS start FROM vol WHERE volatility IS NOT NULL),
     ext AS (SELECT *, max(x) OVER f AS hi, min(x) OVER f AS lo, last_value(x) OVER f AS fin, max(start) OVER f AS stop FROM used WINDOW f AS (PARTITION BY code ORDER BY start ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)),
-    hits AS (SELECT e.*, (SELECT min(u.start) FROM used u WHERE u.code = e.code AND u.start BETWEEN e.start AND e.start + 5 AND u.x = e.hi) AS hi_at, (SELECT min(u.start) FROM used u WHERE u.code = e.code AND u.start BETWEEN e.start AND e.start + 5 AND u.x = e.lo) AS lo_at, 0.5 * volatility AS bound FROM ext e),
-    ev AS (SELECT code, seq, label, start, CASE WHEN label = 1 AND (hi - x) / x >= bound THEN hi_at WHEN label = -1 AND (lo - x) / x <= -bound THEN lo_at ELSE stop END AS "end",
-    CASE label WHEN 1 THEN CASE WHEN (hi - x) / x < bound THEN CASE WHEN fin / x - 1 > 0 THEN fin / x - 1 END ELSE (hi - x) / x END WHEN -1 THEN CASE WHEN (lo - x) / x > -bound THEN CASE WHEN fin / x - 1 < 0 THEN 1 - fin / x END ELSE -(lo - x) / x END ELSE bound / 2 END AS gain FROM hits)"""
+    hits AS (SELECT e.*, (SELECT min(u.start) FROM used u WHERE u.code = e.code AND u.start BETWEEN e.start AND e.start + 5 AND u.x = e.hi) AS hi_at, (SELECT min(u.start) FROM used u WHERE u.code = e.code AND u.start BETWEEN e.start AND e.start + 5 AND u.x = e.lo) AS lo_at, 0.5 * volatility AS bound, {_relative('hi - x')} AS up, {_relative('lo - x')} AS dn, {_relative('fin - x')} AS final FROM ext e),
+    ev AS (SELECT code, seq, label, start, CASE WHEN label = 1 AND up >= bound THEN hi_at WHEN label = -1 AND dn <= -bound THEN lo_at ELSE stop END AS "end",
+    CASE WHEN x <> 0 OR label = 0 THEN CASE label WHEN 1 THEN CASE WHEN up < bound THEN CASE WHEN final > 0 THEN final END ELSE up END WHEN -1 THEN CASE WHEN dn > -bound THEN CASE WHEN final < 0 THEN -final END ELSE -dn END ELSE bound / 2 END END AS gain FROM hits)"""
 
 
 @query("event_extraction", f'WITH {_EVENTS} SELECT code, seq, label, start, "end", round(gain, 6) AS event_returns FROM ev')

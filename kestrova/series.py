@@ -30,6 +30,12 @@ def null_if_nan(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.when(~bad(F.col(c)), F.col(c)) for c in columns})
 
 
+def relative(gap: Column, base: Column) -> Column:
+    """``gap`` over ``base``. From a base of zero it is infinite on the side of the gap, and null if there is no gap."""
+    far = float("inf")
+    return F.coalesce(F.try_divide(gap, base), F.when(gap > 0, far).when(gap < 0, -far))
+
+
 class Staged:
     """Columns that build on each other through windows.
 

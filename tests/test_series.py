@@ -174,3 +174,30 @@ def test_bars_reset_and_draws_repeat(spark):
     assert 0 < sampling.draw(w, 20, replacement=True).count() < 40
     with pytest.raises(ValueError):
         labels.stack([rows, rows.withColumn("y", F.lit(1))])
+
+
+def test_prices_of_zero(spark):
+    x = [100.0, 101.0, 99.0, 103.0, 0.0, 0.0, 5.0, 6.0, 4.0, 7.0, 5.0, 0.0, 6.0]
+    rows = frame(spark, x)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a = np.array(x)
+        r = np.concatenate([[0], a[1:] / a[:-1] - 1])
+        r[np.isnan(r)] = 0
+        side, want = 0, []
+        for i in range(len(a)):
+            own = r[i - 2 : i + 1]
+            vol = own.std(ddof=1) * math.sqrt(3) if i >= 2 and np.isfinite(own).all() else math.nan
+            up, down = ((f(a[i : i + 3]) - a[i]) / a[i] for f in (np.max, np.min))
+            long, short = (up > (0.25 if side == -1 else 0.5) * vol), (down < -(0.25 if side == 1 else 0.5) * vol)
+            side = (-1 if short else 1 if long else 0) if side == -1 else 1 if long else -1 if short else 0
+            want.append(side)
+    assert column(labels.triple_barrier(rows, 0.5, 0.25, 3, 3), "label") == want and want[5] == 1
+    assert len(column(labels.look_forward(rows, 3, 1, 0.5), "label")) == len(x)
+    assert column(labels.look_forward(rows, 3, 1, 0.5), "label")[4] == 0
+    marked = rows.withColumn("label", F.lit(1))
+    got = {r.seq: r for r in sampling.events(marked, 0.5, 3, 3).collect()}
+    assert got[4].event_returns is None and got[4].end > got[4].start and 5 not in got
+    assert all(r.sample_weight is None or math.isfinite(r.sample_weight) for r in sampling.sample_weights(marked, 0.5, 3, 3).collect())
+    daily = spark.createDataFrame([("a", i, i, o, c, max(o, c), min(o, c)) for i, (o, c) in enumerate([(1.0, 2.0), (2.0, 0.0), (3.0, 4.0), (4.0, 5.0)])], "code string, seq long, date int, open double, close double, high double, low double")
+    out = {(r.kind, r.date): r for r in sampling.decompose(daily).collect()}
+    assert out["intraday", 1].close == 0 and out["overnight", 1].close is None and out["overnight", 2].open is None and out["complete", 2].close == 4.0
