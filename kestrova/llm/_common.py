@@ -4,8 +4,13 @@ gapless ranks without a global sort, and connected components.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +19,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_written: list[tuple[SparkSession, str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The tables that ``written`` makes in a ``scratch`` go here; another thread has its own.
+_tables: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("tables", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,11 +38,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: cuts the lineage
-    and survives the loss of any executor."""
+    and survives the loss of any executor. It is deleted when its ``scratch`` is released, or when the
+    driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/kestrova/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    _written.append((spark, path))
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # its shuffle files go when it is written, not when the driver's garbage does
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    delete_on_exit(spark, path)
+    made = _tables.get()
+    if made is not None:
+        made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,17 +62,64 @@ def small(df: DataFrame, most: int = 1 << 20) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def tables() -> int:
-    """How many tables ``written`` has made so far."""
-    return len(_written)
+def _place(spark: SparkSession, path: str) -> tuple:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
 
-def release(first: int, last: int) -> None:
-    """Delete those of the tables that ``written`` has made, in order. Call it only
-    when no result that still reads them is needed."""
-    for spark, path in _written[first:last]:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+def exists(spark: SparkSession, path: str) -> bool:
+    files, hadoop = _place(spark, path)
+    return files.exists(hadoop)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, hadoop = _place(spark, path)
+    files.delete(hadoop, True)
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    files, hadoop = _place(spark, path)
+    files.deleteOnExit(hadoop)
+
+
+@contextmanager
+def scratch() -> Iterator[list]:
+    """Collects the tables that ``written`` makes meanwhile, for ``release``."""
+    made: list = []
+    token = _tables.set(made)
+    try:
+        yield made
+    finally:
+        _tables.reset(token)
+
+
+def release(made: list) -> None:
+    """Delete the tables of a ``scratch``. Call it only when no result that still
+    reads them is needed."""
+    while made:
+        delete(*made.pop())
+
+
+_kept: dict[str, object] = {}
+
+
+def keep(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept in a worker for the next tasks; and no other operator's
+    state with it: a worker serves many, and their states would add up."""
+    if name not in _kept:
+        lean()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def lean() -> None:
+    """Lets go of what ``keep`` holds, and gives freed memory back to the system."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], count: str, total: int) -> DataFrame:
@@ -71,11 +134,16 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], count: str,
     return rows.join(hot, key).unionByName(rows.join(hot.select(*key), key, "left_anti").join(cold, key))
 
 
-def with_ranks(df: DataFrame, group: str, name: str) -> DataFrame:
-    """Adds ``rank``: 0, 1, 2 ... within each value of the integer column ``group``,
-    without gaps and without bringing a group into one task. Each task numbers its
-    own rows while they are written; a table of partitions x groups holds the
+def with_ranks(df: DataFrame, group: str, ties: list[str], name: str) -> DataFrame:
+    """Adds ``rank``: 0, 1, 2 ... within each value of the integer column ``group``, by two
+    hashes of the columns ``ties`` (96 bits), however the rows lie; rows equal in these have any order. No group is brought into one task: rows are sorted into ranges, each
+    task numbers its own while they are written, and a table of a row for each group and one more for each range holds the
     offsets."""
+    with scratch() as made:
+        rows = written(df, name)
+        order = [group, "_tie", "_also", "_row"]
+        dealt = rows.withColumn("_tie", F.xxhash64(*ties)).withColumn("_also", F.hash(*ties)).withColumn("_row", F.monotonically_increasing_id())
+        dealt = dealt.repartitionByRange(*order).sortWithinPartitions(*order).select(*df.columns)
     schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_local", T.LongType())])
 
     def number(batches):
@@ -93,10 +161,11 @@ def with_ranks(df: DataFrame, group: str, name: str) -> DataFrame:
             seen.update(zip(keys.tolist(), (base + sizes).tolist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(code), part, dtype=np.int32)), pa.array(local + base[code])], names=[f.name for f in schema])
 
-    rows = written(df.mapInArrow(number, schema), name)
+    rows = written(dealt.mapInArrow(number, schema), name)
+    release(made)
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("_part", group).count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    return rows.join(offsets, ["_part", group]).withColumn("rank", F.col("_before") + F.col("_local")).select(*df.columns, "rank")
+    return rows.join(small(offsets), ["_part", group]).withColumn("rank", F.col("_before") + F.col("_local")).select(*df.columns, "rank")
 
 
 def spanning(batches_of_pairs) -> tuple[np.ndarray, np.ndarray]:

@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, join_groups, written
+from ._common import components, join_groups, release, scratch, written
 from .textvec import hashes, mix, pieces, shingles, words
 
-_BINS = 256
+#: Bins of the least sketch, and of what is looked at first.
+_BINS, _COARSE = 256, 32
 
 
 class Sets(NamedTuple):
@@ -28,7 +29,9 @@ class Sets(NamedTuple):
 def shingle_sets(texts: pa.Array, n: int) -> Sets:
     w = words(texts)
     tokens, text = shingles(hashes(w), w.text, w.texts, n)
-    order = np.lexsort((tokens, text))
+    order = np.argsort(tokens)
+    # by text and token: texts are numbers of few bits, which sort in linear time
+    order = order[np.argsort(text[order].astype(np.min_scalar_type(w.texts)), kind="stable")]
     tokens, text = tokens[order], text[order]
     new = np.ones(len(tokens), dtype=bool)
     new[1:] = (tokens[1:] != tokens[:-1]) | (text[1:] != text[:-1])
@@ -38,10 +41,12 @@ def shingle_sets(texts: pa.Array, n: int) -> Sets:
 
 
 def _sums(sets: Sets, salt: int) -> np.ndarray:
-    """For each set a 64-bit number that depends on its tokens, not on their order."""
+    """For each set a 64-bit number but 0 that depends on its tokens, not on their order."""
     out = np.zeros(len(sets.size), dtype=np.uint64)
-    np.add.at(out, sets.text, mix(sets.tokens ^ np.uint64(salt)))
-    return mix(out + sets.size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt))
+    some = sets.size > 0
+    if some.any():
+        out[some] = np.add.reduceat(mix(sets.tokens ^ np.uint64(salt)), sets.first[some])
+    return np.maximum(mix(out + sets.size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt)), np.uint64(1))
 
 
 class Bands(NamedTuple):
@@ -142,7 +147,7 @@ def signatures(sets: Sets, b: Bands, salt: int) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(probes)
 
 
-def _stars(keys, sid, size, probes):
+def _stars(keys, probes):
     """Rows sorted by key, those that probe first: for each row its key's first row
     and whether the key has a row that probes."""
     new = np.ones(len(keys), dtype=bool)
@@ -152,6 +157,39 @@ def _stars(keys, sid, size, probes):
     return first[group], probes[first][group]
 
 
+def sketches(sets: Sets) -> list[bytes]:
+    """For each set its tokens counted by the first bits of their hashes, up to 255, in
+    256 bins or four times as many again and again, until a bin has eight tokens at most on average."""
+    bins = np.full(len(sets.size), _BINS, dtype=np.int64)
+    while (small := bins * 8 < sets.size).any():
+        bins[small] *= 4
+    first = np.cumsum(bins) - bins
+    shift = (64 - np.rint(np.log2(bins))).astype(np.uint64)
+    place = first[sets.text] + (mix(sets.tokens) >> shift[sets.text]).astype(np.int64)
+    flat = np.minimum(np.bincount(place, minlength=int(bins.sum())), 255).astype(np.uint8).tobytes()
+    return [flat[a : a + n] for a, n in zip(first.tolist(), bins.tolist())]
+
+
+def _matrix(made: list[bytes], bins: int) -> np.ndarray:
+    """Sketches of one length as rows of ``bins`` counts: neighbouring bins are added up."""
+    x = np.frombuffer(b"".join(made), dtype=np.uint8).reshape(len(made), bins, -1)
+    return x[:, :, 0].astype(np.int16) if x.shape[2] == 1 else x.sum(2, dtype=np.int32)
+
+
+def _differ(a: list[bytes], b: list[bytes], at_once: int = 1 << 21) -> np.ndarray:
+    """The sum of the differences of each two sketches' counts, at the coarser one's bins: not more than what the sets differ by."""
+    out = np.zeros(len(a), dtype=np.int64)
+    sizes = np.array([[len(x) for x in a], [len(x) for x in b]], dtype=np.int64).reshape(2, -1)
+    for n, m in np.unique(sizes, axis=1).T.tolist():
+        own = np.flatnonzero((sizes[0] == n) & (sizes[1] == m))
+        step = max(1, at_once // max(n, m))
+        for low in range(0, len(own), step):
+            some = own[low : low + step].tolist()
+            x, y = _matrix([a[i] for i in some], min(n, m)), _matrix([b[i] for i in some], min(n, m))
+            out[some] = np.abs(x - y).sum(1)
+    return out
+
+
 def linked(docs: DataFrame, words_each: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", seed: int = 1) -> DataFrame:
     """One row a document: id, n_shingles, component_id.
 
@@ -164,7 +202,7 @@ def linked(docs: DataFrame, words_each: int = 3, num: int = 90, den: int = 100,
     key. A key's sets are compared with its first set; then, where
     these verified links leave a key's sets in several components, all its pairs between
     two components are. So no link between components is lost, and a group of
-    near copies costs about one comparison a document. Counts of tokens in 256 bins differ by at
+    near copies costs about one comparison a document. Counts of tokens in bins (``sketches``) differ by at
     most the sets' difference, which rules out most other pairs before the sets
     themselves are fetched. All comparisons are exact.
 
@@ -181,11 +219,8 @@ def linked(docs: DataFrame, words_each: int = 3, num: int = 90, den: int = 100,
                 own = batch.column(0).slice(at, len(texts))
                 at += len(texts)
                 s = shingle_sets(texts, words_each)
-                bins = np.zeros((len(s.size), _BINS), dtype=np.int64)
-                np.add.at(bins, (s.text, (mix(s.tokens) >> np.uint64(56)).astype(np.int64)), 1)
-                sketch = np.minimum(bins, 255).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [own, pa.array(s.size.astype(np.int64)), pa.array(_sums(s, seed).view(np.int64)), pa.array(_sums(s, seed + 1000).view(np.int64)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(_BINS), len(s.size), [None, pa.py_buffer(sketch.tobytes())]).cast(pa.binary())],
+                    [own, pa.array(s.size.astype(np.int64)), pa.array(_sums(s, seed).view(np.int64)), pa.array(_sums(s, seed + 1000).view(np.int64)), pa.array(sketches(s), type=pa.binary())],
                     names=["id", "n", "sid", "other", "sketch"],
                 )
 
@@ -201,64 +236,80 @@ def linked(docs: DataFrame, words_each: int = 3, num: int = 90, den: int = 100,
             for texts in pieces(batch.column(0), 1 << 21):
                 s = shingle_sets(texts, words_each)
                 key, owner, probes = signatures(s, b, seed)
-                sid, size = _sums(s, seed)[owner].view(np.int64), s.size[owner]
-                order = np.lexsort((sid, ~probes, key))
-                key, sid, size, probes = key[order], sid[order], size[order], probes[order]
+                sid = _sums(s, seed)[owner].view(np.int64)
+                key = key & ~np.uint64(1) | ~probes  # the last bit of those that don't probe is 1
+                order = np.lexsort((sid, key))
+                by_key, of = key[order] >> np.uint64(1), sid[order]
                 same = np.zeros(len(key), dtype=bool)
-                same[1:] = (key[1:] == key[:-1]) & (sid[1:] == sid[:-1])
-                key, sid, size, probes = key[~same], sid[~same], size[~same], probes[~same]
-                lead, found = _stars(key, sid, size, probes)
-                lone = ~found | (lead == np.arange(len(key)))
-                lead = np.where(lone, np.arange(len(key)), lead)
-                # a member that has met its first set goes anywhere: hot keys don't gather in one task
-                deal = np.where(lone, key, mix(key ^ sid.view(np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (deal.view(np.int64), key.view(np.int64), sid[lead], size[lead].astype(np.int32), sid, (size * 2 + probes).astype(np.int32))], names=["deal", "key", "lead", "lead_n", "sid", "n"])
-
-    # sid and lead are equal for a row that is still to meet others of its key
-    dealt = source.select("text").mapInArrow(sign, "deal long, key long, lead long, lead_n int, sid long, n int")
-    dealt = dealt.repartition("deal").sortWithinPartitions("key", F.col("n") % 2 == 0, "sid")
+                same[1:] = (by_key[1:] == by_key[:-1]) & (of[1:] == of[:-1])
+                order = order[~same]
+                first, found = _stars(by_key[~same], probes[order])
+                lead = np.full(len(key), -1)
+                lead[order] = np.where(found, order[first], order)
+                # a set's keys go together, so that all but the keys compresses away
+                own = np.argsort(owner.astype(np.min_scalar_type(len(s.size))), kind="stable")
+                own = own[lead[own] >= 0]
+                lead = np.where(lead[own] == own, 0, sid[lead[own]])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[own].view(np.int64), lead, sid[own])], names=["key", "lead", "sid"])
+
+    # lead is 0 for a row that is still to meet others of its key; a member that has met
+    # its first set goes anywhere, so hot keys don't gather in one task
+    dealt = source.select("text").mapInArrow(sign, "key long, lead long, sid long")
+    dealt = dealt.repartition(F.when(F.col("lead") == 0, F.shiftrightunsigned("key", 1)).otherwise(F.xxhash64("key", "sid"))).sortWithinPartitions("key", "sid")
 
     def meet(batches):
-        last, lead, lead_n = None, 0, 0  # the key before, and its first set
+        last, lead = None, 0  # the key before, and its first set
         for batch in batches:
-            key, lead_of, lead_size, sid, n = (batch.column(c).to_numpy() for c in ("key", "lead", "lead_n", "sid", "n"))
-            lone = lead_of == sid
-            out = [[key[~lone], lead_of[~lone], lead_size[~lone], sid[~lone], n[~lone] >> 1]]
-            key, sid, n = key[lone], sid[lone], n[lone]
+            key, lead_of, sid = (batch.column(c).to_numpy() for c in ("key", "lead", "sid"))
+            probes, key = key & 1 == 0, key >> 1
+            lone = lead_of == 0
+            out = [[key[~lone], lead_of[~lone], sid[~lone], probes[~lone]]]
+            key, sid, probes = key[lone], sid[lone], probes[lone]
             if len(key):
-                first, found = _stars(key, sid, n, n % 2 == 1)
-                a, a_n = sid[first], n[first] >> 1
+                first, found = _stars(key, probes)
+                a = sid[first]
                 if last is not None:
                     on = key == last
-                    a, a_n, found = np.where(on, lead, a), np.where(on, lead_n, a_n), np.where(on, True, found)
+                    a, found = np.where(on, lead, a), found | on
                 take = found & (a != sid)
-                out.append([key[take], a[take], a_n[take], sid[take], n[take] >> 1])
-                if found[-1]:
-                    last, lead, lead_n = key[-1], a[-1], a_n[-1]
-                else:
-                    last = None
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["key", "a", "a_n", "b", "b_n"])
+                out.append([key[take], a[take], sid[take], probes[take]])
+                last, lead = (key[-1], a[-1]) if found[-1] else (None, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["key", "a", "b", "probes"])
 
-    met = written(dealt.mapInArrow(meet, "key long, a long, a_n int, b long, b_n int"), "met")
-    near = (F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num) & (F.col("a") != F.col("b"))
-    pairs = met.filter(near).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    # a probes; so does b, or not
+    met = written(dealt.mapInArrow(meet, "key long, a long, b long, probes boolean"), "met")
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"))
     pairs = written(_possible(pairs, sets, num, den), "pairs")
+
+    def verified(asked: DataFrame) -> DataFrame:
+        with scratch() as made:
+            found = _verified(asked, sets, source, words_each, num, den, seed)
+        found = written(found, "links")
+        release(made)
+        return found
+
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
-    links = written(_verified(best, sets, source, words_each, num, den, seed), "links")
+    links = verified(best)
     parts = components(links)
     rest = written(_between(pairs.join(best, ["a", "b"], "left_anti"), parts), "rest")
     if not rest.isEmpty():
-        more = _verified(rest, sets, source, words_each, num, den, seed)
-        links = written(links.unionByName(more), "links")
+        links = links.unionByName(verified(rest))
         parts = components(links)
-    # the likeliest partner of each set outside its key's largest component, then all that remain
-    for likeliest in (True, False):
-        found = _across(met, parts, sets, num, den, likeliest).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        found = written(found.join(links.select("a", "b"), ["a", "b"], "left_anti"), "across")
-        if not found.isEmpty():
-            more = _verified(found, sets, source, words_each, num, den, seed)
-            links = written(links.unionByName(more), "links")
+    # the likeliest partner of each set that streams, then all of those that have several
+    sides = written(_sides(met), "sides")
+    again = None
+    while True:
+        found = written(_across(sides, parts, sets, num, den, again), "across")
+        asked = found.select("a", "b").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        more = verified(asked.join(links.select("a", "b"), ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            links = links.unionByName(more)
             parts = components(links)
+        if again is not None:
+            break
+        again = written(found.filter("more").select("key", F.col("asker").alias("sid")).distinct(), "again")
+        if again.isEmpty():
+            break
     named = sets.select("sid", "rep", "copies").join(parts.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = parts.join(sets.select(F.col("sid").alias("id"), "rep"), "id").groupBy("component").agg(F.min("rep").alias("least"))
     named = named.join(least, "component", "left").select("sid", "copies", F.coalesce("least", "rep").alias("component_id"))
@@ -273,8 +324,7 @@ def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
     @F.arrow_udf("boolean")
     def may(a: pa.Array, b: pa.Array, both: pa.Array) -> pa.Array:
-        x, y = (np.frombuffer(b"".join(v.to_pylist()), dtype=np.uint8).reshape(-1, _BINS).astype(np.int16) for v in (a, b))
-        return pa.array(np.abs(x - y).sum(1) <= both.to_numpy() * (den - num) // (den + num))
+        return pa.array(_differ(a.to_pylist(), b.to_pylist()) <= both.to_numpy() * (den - num) // (den + num))
 
     side = lambda c: sets.select(F.col("sid").alias(c), F.col("sketch").alias(f"{c}_sketch"), F.col("n").alias(f"{c}_size"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("a_size", "b_size") * den >= F.greatest("a_size", "b_size") * num)
@@ -288,55 +338,85 @@ def _between(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b")
 
 
-def _across(met: DataFrame, parts: DataFrame, sets: DataFrame, num: int, den: int, likeliest: bool) -> DataFrame:
-    """Pairs of sets that share a key, are in different components and may be similar by
-    size and bins; if ``likeliest``, of each set outside its key's largest
-    component only the partner whose bins differ least. Each key's sets are
-    dealt into blocks of about 4000, past which those outside the largest component stream; a pair that
-    is ruled out is never a row."""
-    sides = met.select("key", F.col("a").alias("sid")).unionByName(met.select("key", F.col("b").alias("sid"))).distinct()
+def _sides(met: DataFrame) -> DataFrame:
+    """(key, sid, probes): the sets of each key that may hold pairs besides those with its first set. A key of
+    two sets has none, nor has one in which only the first set probes."""
+    sides = met.select("key", F.col("a").alias("sid"), F.lit(True).alias("probes")).unionByName(met.select("key", F.col("b").alias("sid"), "probes"))
+    some = met.groupBy("key").agg(F.count("*").alias("n"), F.count_if("probes").alias("more")).filter("n > 1 and more > 0").select("key")
+    return sides.groupBy("key", "sid").agg(F.max("probes").alias("probes")).join(some, "key")
+
+
+def _across(sides: DataFrame, parts: DataFrame, sets: DataFrame, num: int, den: int, again: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) of sets that share a key, one of which at least probes, are in different components and may be
+    similar by size and bins; first of each set that streams (asker) only the partner whose bins differ least, and whether there
+    are more, then all pairs of the askers ``again`` (key, sid). Each key's sets are
+    dealt into blocks of about 4000, past which stream those that probe and are outside the key's largest component, or in
+    it when others don't probe; a pair that is ruled out is never a row."""
+    likeliest = again is None
+    if not likeliest:
+        sides = sides.join(again.select("key").distinct(), "key").join(again.withColumn("again", F.lit(True)), ["key", "sid"], "left")
     sides = sides.join(parts.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    sides = written(sides, "sides")
-    by_part = sides.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.ceil(F.sum("count") / 4000).cast("int").alias("blocks"), F.count("*").alias("parts"))
-    sides = sides.join(by_part.filter("parts > 1").drop("parts"), "key").join(sets.select("sid", "n", "sketch"), "sid").withColumn("outside", F.col("component") != F.col("main")).drop("main")
+    by_part = sides.groupBy("key", "component").agg(F.count("*").alias("count"), F.min("probes").alias("probes"))
+    by_part = by_part.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.ceil(F.sum("count") / 4000).cast("int").alias("blocks"), F.count("*").alias("parts"), F.min("probes").alias("every"))
+    sides = sides.join(by_part.filter("parts > 1").drop("parts"), "key").join(sets.select("sid", "n", "sketch"), "sid")
+    outside = (F.col("component") != F.col("main")) | ~F.col("every")
+    sides = sides.withColumn("streams", F.col("probes") & outside if likeliest else F.col("again").isNotNull())
+    sides = sides.select("key", "sid", "component", "blocks", "n", "sketch", "streams")
     every = sides.withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int")).withColumn("past", F.lit(False))
-    past = sides.filter("outside").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("past", F.lit(True))
+    past = sides.filter("streams").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("past", F.lit(True))
     dealt = every.unionByName(past.select(*every.columns)).drop("blocks").repartition("key", "block").sortWithinPartitions("key", "block", "past")
 
     def prune(batches):
-        at, block = None, []
+        held = None  # of the last key and block, whose rows may go on in the next batch
         for batch in batches:
-            key, number, past, sid, part, n, outside = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "past", "sid", "component", "n", "outside"))
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, _BINS).astype(np.int16)
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "past", "sid", "component", "n", "streams", "sketch")]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            key, number, past, sid, part, n, streams, sketch = rows
+            if not len(key):
+                continue
+            coarse = np.empty((len(key), _COARSE), dtype=np.int32)
+            sizes = np.array([len(x) for x in sketch])
+            for size in np.unique(sizes).tolist():
+                own = np.flatnonzero(sizes == size)
+                coarse[own] = _matrix(sketch[own].tolist(), _COARSE)
             new = np.ones(len(key), dtype=bool)
             new[1:] = (key[1:] != key[:-1]) | (number[1:] != number[:-1])
-            first = np.flatnonzero(new)
-            out = [(np.zeros(0, np.int64),) * 2]
-            for low, high in zip(first, np.append(first[1:], len(key))):
-                if (key[low], number[low]) != at:
-                    at, block = (key[low], number[low]), []
-                middle = low + int(np.searchsorted(past[low:high], True))
-                if middle > low:
-                    block.append([x[low:middle] for x in (sid, part, n, outside, sketch)])
-                if middle == high:
-                    continue
-                block = [[np.concatenate(x) for x in zip(*block)]]
-                their, their_part, their_n, their_out, their_sketch = block[0]
-                for i in range(middle, high):
-                    both = their_n + n[i]
-                    may = (their_part != part[i]) & (np.minimum(their_n, n[i]) * den >= np.maximum(their_n, n[i]) * num) & (~their_out | likeliest | (their > sid[i]))
-                    may = np.flatnonzero(may)
-                    if not len(may):
-                        continue
-                    differ = np.abs(their_sketch[may] - sketch[i]).sum(1)
-                    fit = differ <= both[may] * (den - num) // (den + num)
-                    may, differ = may[fit], differ[fit]
-                    if likeliest and len(may):
-                        may = may[[differ.argmin()]]
-                    out.append((np.minimum(their[may], sid[i]), np.maximum(their[may], sid[i])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
-
-    return dealt.mapInArrow(prune, "a long, b long").distinct()
+            group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            many = np.bincount(group, ~past, len(first)).astype(np.int64)
+            asked = np.flatnonzero(past)
+            upto = np.cumsum(many[group[asked]])
+            out, at = [(np.zeros(0, np.int64),) * 4 + (np.zeros(0, bool),)], 0
+            while at < len(asked):  # some 200,000 pairs at a time, all of a row's together
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 200_000, side="right")))
+                i = np.repeat(asked[at:to], many[group[asked[at:to]]])
+                start = np.concatenate([[0], upto[at:to] - (upto[at - 1] if at else 0)])
+                j = np.arange(len(i)) + np.repeat(first[group[asked[at:to]]] - start[:-1], np.diff(start))
+                at = to
+                may = (part[i] != part[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
+                may &= ~streams[j] | likeliest | (sid[j] > sid[i])
+                i, j = i[may], j[may]
+                most = (n[i] + n[j]) * (den - num) // (den + num)
+                may = np.abs(coarse[i] - coarse[j]).sum(1) <= most
+                i, j, most = i[may], j[may], most[may]
+                differ = _differ(sketch[i].tolist(), sketch[j].tolist())
+                may = differ <= most
+                i, j, differ = i[may], j[may], differ[may]
+                if likeliest:
+                    order = np.lexsort((differ, i))
+                    i, j = i[order], j[order]
+                    best = np.ones(len(i), dtype=bool)
+                    best[1:] = i[1:] != i[:-1]
+                    more = np.append(best[1:], True)[best] == 0
+                    i, j = i[best], j[best]
+                else:
+                    more = np.zeros(len(i), dtype=bool)
+                out.append((np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j]), key[i], sid[i], more))
+            last = np.flatnonzero((group == group[-1]) & ~past)
+            held = [x[last] for x in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b", "key", "asker", "more"])
+
+    return dealt.mapInArrow(prune, "a long, b long, key long, asker long, more boolean")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, source: DataFrame, words_each: int, num: int, den: int, seed: int, most_broadcast: int = 1 << 20) -> DataFrame:
