@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import lean
 from .textvec import Words, pieces, raw, words
 
 #: The Unicode ranges of the commoner scripts. Letters outside them are "other".
@@ -241,11 +242,12 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, id_col
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        lean()
         model = shared.value
         n = len(model.languages)
         for batch in batches:
             done = 0
-            for texts in pieces(batch.column(1), 1 << 20):
+            for texts in pieces(batch.column(1), 1 << 19):
                 own = batch.column(0).slice(done, len(texts))
                 done += len(texts)
                 w = words(texts)
