@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kestrova.llm._common import release, shared_folder, small, tables, written
+from kestrova.llm._common import delete, delete_on_exit, exists, release, scratch, shared_folder, small, written
 from kestrova.llm.exact_dedup import exact_dedup
 from kestrova.llm.jaccard_join import linked
 from kestrova.llm.langid import identify, train
@@ -22,7 +23,8 @@ from kestrova.llm.packing import pack, token_pieces, word_tokens
 from kestrova.llm.queries import held_out, mixture, tokenizer_path
 
 
-_made = (0, 0)
+#: The tables that the stage before made; each thread that runs stages has its own.
+_made: ContextVar[list | None] = ContextVar("made", default=None)
 
 
 def _stage(function: Callable) -> Callable:
@@ -30,11 +32,10 @@ def _stage(function: Callable) -> Callable:
 
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        global _made
-        release(*_made)
-        first = tables()
-        out = function(spark, docs, sf_dir)
-        _made = (first, tables())
+        release(_made.get() or [])
+        with scratch() as made:
+            out = function(spark, docs, sf_dir)
+        _made.set(made)
         return out
 
     return run_stage
@@ -96,14 +97,25 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("language ID", language_id), ("exact dedup", exact_copies), ("n-gram Jaccard join", near_copies), ("mixing", mixing), ("packing", packing)]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each one's result is written and read again."""
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages over the documents; each one's result is written and read again, and
+    the one before deleted. With a ``folder`` of its own, a run whose driver was lost goes on
+    after the last stage that was written; without, the result goes when the driver ends."""
+    base = folder
+    if base is None:
+        base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+        delete_on_exit(spark, base)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    done = [k for k in range(len(STAGES)) if exists(spark, f"{base}/{k}/_SUCCESS")]
+    if done:
+        docs = spark.read.parquet(f"{base}/{done[-1]}")
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{base}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if done and k <= done[-1]:
+            continue
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{base}/{k}")
+        docs = spark.read.parquet(f"{base}/{k}")
+        delete(spark, f"{base}/{k - 1}")
+    release(_made.get() or [])
     return docs
 
 
