@@ -18,7 +18,7 @@ def _zip(a: Column, b: Column, f) -> Column:
 
 def distance(name: str, a: Column, b: Column, p: float = 3.0) -> Column:
     """The distance of two arrays: euclidean, manhattan, chebyshev, minkowski, hamming (share of places that differ),
-    angular (1 - cosine) or jaccard (of the sets of values)."""
+    angular (1 - cosine) or jaccard (bit by bit: 1 - the sum of a & b over the sum of a | b, values as whole numbers; null without bits)."""
     gap = lambda x, y: F.abs(x - y)
     if name == "euclidean":
         return F.sqrt(_sum(_zip(a, b, lambda x, y: (x - y) * (x - y))))
@@ -34,7 +34,8 @@ def distance(name: str, a: Column, b: Column, p: float = 3.0) -> Column:
         dot = _sum(_zip(a, b, lambda x, y: x * y))
         return 1 - F.try_divide(dot, F.sqrt(_sum(_zip(a, a, lambda x, y: x * y))) * F.sqrt(_sum(_zip(b, b, lambda x, y: x * y))))
     if name == "jaccard":
-        return 1 - F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+        both, some = (F.aggregate(F.zip_with(a, b, f), F.lit(0).cast("long"), lambda x, y: x + y) for f in (lambda x, y: x.cast("long").bitwiseAND(y.cast("long")), lambda x, y: x.cast("long").bitwiseOR(y.cast("long"))))
+        return 1 - F.try_divide(both.cast("double"), some.cast("double"))
     raise ValueError(f"unknown distance {name!r}")
 
 

@@ -131,7 +131,7 @@ def draw(rows: DataFrame, n: float, weight: str = "sample_weight", by: Sequence[
     """A weighted sample; ``n`` is a count or, with ``by``, a share of all rows divided among the groups.
 
     Without replacement the rows with the largest ln(u) / weight are taken (Efraimidis and
-    Spirakis); with replacement each row gets a Poisson number of copies. u is a hash of
+    Spirakis); with replacement each draw falls on a row by its weight, independent of the others. u is a hash of
     seed and key, so a sample can be made again."""
     rows = rows.filter(F.col(weight) > 0)
     u = (F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(2**53 - 1)) + 1) / float(2**53)
@@ -144,10 +144,7 @@ def draw(rows: DataFrame, n: float, weight: str = "sample_weight", by: Sequence[
     else:
         take = float(n)
     if replacement:
-        sized = rows.join(F.broadcast(size), groups) if groups else rows.crossJoin(F.broadcast(size))
-        mean = F.col(weight) / F.col("_total") * take
-        copies = (F.floor(mean) + F.when(u < mean - F.floor(mean), 1).otherwise(0)).cast("int")
-        return sized.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")))).drop("_copy", "_rows", "_total")
+        return _drawn(rows, int(take), weight, groups, seed, key)
     scored = rows.withColumn("_score", F.log(u) / F.col(weight))
     if not groups:
         return scored.orderBy(F.desc("_score"), *key).limit(int(take)).drop("_score")
@@ -155,6 +152,32 @@ def draw(rows: DataFrame, n: float, weight: str = "sample_weight", by: Sequence[
     return scored.withColumn("_place", place).filter(F.col("_place") <= take).drop("_place", "_score")
 
 
+def _drawn(rows: DataFrame, take: int, weight: str, groups: list[str], seed: int, key: Sequence[str]) -> DataFrame:
+    """``take`` independent draws in each group. A group's rows lie side by side on a line, each as long as its weight, in
+    blocks by hash so that no group is in one task; a draw is a place on the line, finds
+    its block among the block's starts (1000 at most) and its row by sorting places into the block."""
+    own = groups or ["_all"]
+    columns = rows.columns
+    rows = rows.withColumn("_all", F.lit(0))
+    held = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_rows"))
+    rows = rows.join(held, own).withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + 1), *key), F.least(F.ceil(F.col("_rows") / 50000), F.lit(1000))).cast("int"))
+    before = Window.partitionBy(*own).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*own, "_block").agg(F.sum(weight).alias("_weight"))
+    blocks = blocks.withColumn("_from", F.coalesce(F.sum("_weight").over(before), F.lit(0.0)))
+    lines = blocks.groupBy(*own).agg(F.sum("_weight").alias("_total"), F.sort_array(F.collect_list(F.struct("_from", "_block"))).alias("_starts"))
+    every = 10000
+    draws = lines.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(max(take - 1, 0) // every)))).withColumn("_nth", F.explode(F.sequence(F.lit(0), F.lit(every - 1))))
+    draws = draws.withColumn("_nth", F.col("_chunk").cast("long") * every + F.col("_nth")).filter(F.col("_nth") < take)
+    u = F.pmod(F.xxhash64(F.lit(seed), *own, "_nth"), F.lit(2**53)) / float(2**53)
+    draws = draws.withColumn("_at", u * F.col("_total")).withColumn("_in", F.element_at(F.filter("_starts", lambda s: s["_from"] <= F.col("_at")), -1))
+    draws = draws.select(*own, F.col("_in._block").alias("_block"), (F.col("_at") - F.col("_in._from")).alias("_at"), F.lit(None).cast(rows.select(F.struct(*columns)).schema[0].dataType).alias("_row"))
+    along = Window.partitionBy(*own, "_block").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.select(*own, "_block", F.coalesce(F.sum(weight).over(along), F.lit(0.0)).alias("_at"), F.struct(*columns).alias("_row"))
+    line = Window.partitionBy(*own, "_block").orderBy("_at", F.col("_row").isNull())
+    met = placed.unionByName(draws).withColumn("_drawn", F.col("_row").isNull()).withColumn("_row", F.last("_row", ignorenulls=True).over(line))
+    return met.filter("_drawn").select("_row.*")
+
+
 def time_decay(order: Sequence[str | Column] = (SEQ,)) -> Column:
     """From 1 / n to 1 along a code."""
     return F.row_number().over(Window.partitionBy(CODE).orderBy(*order)) / F.count(F.lit(1)).over(Window.partitionBy(CODE))

@@ -40,6 +40,13 @@ def wiener(spark: SparkSession, paths: int, steps: int, horizon: float = 1.0, se
     return grid(spark, paths, steps).withColumn("z", step).select(CODE, SEQ, F.sum("z").over(_so_far()).alias("x"))
 
 
+def general_wiener(spark: SparkSession, paths: int, steps: int, start: float = 100.0, drift: float = 0.05, volatility: float = 0.2, horizon: float = 1.0, seed: int = 0) -> DataFrame:
+    """``start`` times the exponential of summed steps, each of drift and volatility over horizon / steps; the first row is after one step."""
+    dt = horizon / steps
+    step = drift * dt + volatility * math.sqrt(dt) * normal(seed, CODE, SEQ)
+    return grid(spark, paths, steps).withColumn("z", step).select(CODE, SEQ, (start * F.exp(F.sum("z").over(_so_far()))).alias("x"))
+
+
 def geometric(spark: SparkSession, paths: int, steps: int, start: float = 100.0, drift: float = 0.05, volatility: float = 0.2, horizon: float = 1.0, seed: int = 0) -> DataFrame:
     dt = horizon / max(steps - 1, 1)
     t = F.col(SEQ) * dt

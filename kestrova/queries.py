@@ -346,6 +346,11 @@ def _(spark, d):
     return sampling.draw(sampling.sample_weights(_labelled(spark, d), 0.5, 5, 10), 0.5, by=["label"]).select(CODE, SEQ, "label")
 
 
+@query("sample_draw_replacement")
+def _(spark, d):
+    return sampling.draw(sampling.sample_weights(_labelled(spark, d), 0.5, 5, 10), 0.5, by=["label"], replacement=True).select(CODE, SEQ, "label")
+
+
 @query("linear_time_decay", f"WITH {TICKS} SELECT code, seq, round((seq + 1) / count(*) OVER (PARTITION BY code), 8) AS decay FROM ticks")
 def _(spark, d):
     return ticks(spark, d).select(CODE, SEQ, F.round(sampling.time_decay(), 8).alias("decay"))
@@ -656,6 +661,13 @@ def _(spark, d):
 _TWO = f"{TICKS}, two AS (SELECT code, seq, x AS a, x * (seq % 3) AS b FROM ticks)"
 
 
+@query("distance_jaccard", "WITH p AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v > 0 AS INT)) AS a, lead(list_transform(embedding, lambda v: CAST(v > 0 AS INT))) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings) SELECT vec_id, round(1 - list_sum(list_transform(range(1, 65), lambda i: a[i] & b[i])) / list_sum(list_transform(range(1, 65), lambda i: a[i] | b[i])), 6) AS jaccard FROM p WHERE b IS NOT NULL")
+def _(spark, d):
+    bits = F.transform("embedding", lambda v: F.when(v > 0, 1).otherwise(0))
+    rows = table(spark, d, "embeddings").select("vec_id", bits.alias("a"), F.lead(bits).over(Window.partitionBy("label").orderBy("vec_id")).alias("b")).filter("b is not null")
+    return rows.select("vec_id", F.round(codependence.distance("jaccard", F.col("a"), F.col("b")), 6).alias("jaccard"))
+
+
 @query("pearson_correlation", f"WITH {_TWO} SELECT code, round(corr(a, b), 6) AS pearson FROM two GROUP BY code")
 def _(spark, d):
     rows = ticks(spark, d).select(CODE, SEQ, F.col("x").alias("a"), (F.col("x") * (F.col(SEQ) % 3)).alias("b"))
@@ -669,7 +681,7 @@ def _(spark, d):
 
 
 for _name, _make in {
-    "wiener": lambda s: simulate.wiener(s, 20, 100), "geometric": lambda s: simulate.geometric(s, 20, 100), "ornstein_uhlenbeck": lambda s: simulate.ornstein_uhlenbeck(s, 20, 100),
+    "wiener": lambda s: simulate.wiener(s, 20, 100), "general_wiener": lambda s: simulate.general_wiener(s, 20, 100), "geometric": lambda s: simulate.geometric(s, 20, 100), "ornstein_uhlenbeck": lambda s: simulate.ornstein_uhlenbeck(s, 20, 100),
     "correlated_geometric": lambda s: simulate.correlated_geometric(s, [[1.0, 0.6], [0.6, 1.0]], 200, [100.0, 50.0], [0.05, 0.02], [0.2, 0.3]),
     "fractional": lambda s: simulate.fractional(s, 10, 100), "power_law": lambda s: simulate.power_law(s, 20, 100), "power_law_walk": lambda s: simulate.power_law_walk(s, 20, 100),
 }.items():

@@ -171,7 +171,16 @@ def test_bars_reset_and_draws_repeat(spark):
     w = rows.withColumn("sample_weight", F.col("x"))
     a, b = (sorted(r.seq for r in sampling.draw(w, 3).collect()) for _ in range(2))
     assert a == b and len(a) == 3
-    assert 0 < sampling.draw(w, 20, replacement=True).count() < 40
+    assert sampling.draw(w, 20, replacement=True).count() == 20
+    got = sampling.draw(w.withColumn("g", F.col("seq") % 2), 2000, by=["g"], replacement=True).groupBy("g", "seq").count().collect()
+    total = {g: sum(r["count"] for r in got if r.g == g) for g in (0, 1)}
+    assert total == {0: 7000, 1: 7000}
+    held = {0: 3.0 + 5 + 1 + 2, 1: 4.0 + 1 + 20}
+    x = [3.0, 4.0, 5.0, 1.0, 1.0, 20.0, 2.0]
+    assert all(abs(r["count"] / 7000 - x[r.seq] / held[r.g]) < 0.03 for r in got)
+    equal = frame(spark, [1.0] * 10).withColumn("sample_weight", F.lit(1.0))
+    some = [sorted(r.seq for r in sampling.draw(equal, 10, replacement=True, seed=k).collect()) for k in range(3)]
+    assert all(len(s) == 10 for s in some) and any(len(set(s)) < 10 for s in some)
     with pytest.raises(ValueError):
         labels.stack([rows, rows.withColumn("y", F.lit(1))])
 
