@@ -139,6 +139,8 @@ def with_ranks(df: DataFrame, group: str, ties: list[str], name: str) -> DataFra
     hashes of the columns ``ties`` (96 bits), however the rows lie; rows equal in these have any order. No group is brought into one task: rows are sorted into ranges, each
     task numbers its own while they are written, and a table of a row for each group and one more for each range holds the
     offsets."""
+    if {"_tie", "_also", "_row", "_part", "_local", "_before", "rank"} & set(df.columns):
+        raise ValueError("a column is named like one that ranks need")
     with scratch() as made:
         rows = written(df, name)
         order = [group, "_tie", "_also", "_row"]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import with_ranks
+from ._common import keep, with_ranks, written
 from .textvec import hashes, words
 from .textvec import pieces as slices
 
@@ -85,16 +85,8 @@ class WordTokens:
         return self.ids[picked], to[np.searchsorted(w.text, np.arange(len(texts) + 1))]
 
 
-_loaded: dict[str, WordTokens] = {}
-
-
 def word_tokens(path: str) -> Callable[[], WordTokens]:
-    def get():
-        if path not in _loaded:
-            _loaded[path] = WordTokens(path)
-        return _loaded[path]
-
-    return get
+    return lambda: keep(path, lambda: WordTokens(path))
 
 
 def token_pieces(docs: DataFrame, tokens: Callable[[], Callable], length: int = 4096, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -225,11 +217,13 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     pieces have each length, so the driver gets ``capacity`` counts at most; it
     broadcasts a plan whose size has a bound (see ``best_fit``). Pieces are ranked
     within their length without bringing them into one task. Offsets are gapless
-    from 0 in each sequence. Which of two pieces of one length comes first is
-    arbitrary. No rows give no rows. Columns of ``pieces`` named size, rank,
+    from 0 in each sequence. Of two pieces of one length the order is that of their
+    columns' hash, so the same pieces are packed alike however they lie. No rows give no rows. Columns of ``pieces`` named size, rank,
     sequence_id, offset or beginning with an underscore are not kept."""
     taken = [c for c in pieces.columns if c not in ("size", "rank", "sequence_id", "offset") and c[0] != "_"]
-    ranked = with_ranks(pieces.select(*taken), "length", "pieces")
+    # ranks and places are found for lengths and hashes alone; the pieces themselves are joined last, and Python doesn't see them
+    rows = written(pieces.select(*taken, F.monotonically_increasing_id().alias("_own")), "pieces")
+    ranked = with_ranks(rows.select("_own", "length", F.xxhash64(*taken).alias("_one"), F.hash(*taken).alias("_two")), "length", ["_one", "_two"], "lengths")
     counts = ranked.groupBy("length").count().toPandas().sort_values("length", ascending=False)
     if len(counts) and not 0 < counts["length"].min() <= counts["length"].max() <= capacity:
         raise ValueError(f"a piece is longer than {capacity} or empty")
@@ -254,4 +248,5 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
         nth = rank - low[at]
         return pa.StructArray.from_arrays([pa.array(bins[at] + nth // each[at]), pa.array(offset[at] + nth % each[at] * length)], names=["sequence_id", "offset"])
 
-    return ranked.withColumn("_at", place("length", "rank")).select(*taken, "_at.sequence_id", "_at.offset")
+    placed = ranked.select("_own", place("length", "rank").alias("_at"))
+    return rows.join(placed, "_own").select(*taken, "_at.sequence_id", "_at.offset")

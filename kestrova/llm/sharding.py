@@ -66,15 +66,15 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     size, and rows within their shard, without bringing a group into one task.
 
     A null text has no bytes and is in the group of the empty text, its checksum
-    is 0. Ids aren't looked at: they may be null or repeat. Which of two groups of
-    one size comes first is arbitrary. No rows give no rows. Other columns are
-    ignored, whatever their names.
+    is 0. Ids may be null or repeat. Of two groups of one size the order is that of
+    their texts' hashes, and slots follow the hash of id and text, so the same rows give the same result
+    however they lie. No rows give no rows. Other columns are ignored, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), F.unhex(F.sha2(text, 256)).alias("key"))
     rows = written(rows, "sizes")
     groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("members"))
-    ranked = written(with_ranks(groups, "bytes", "groups"), "ranked")
+    ranked = written(with_ranks(groups, "bytes", ["key"], "groups"), "ranked")
     sizes = ranked.groupBy("bytes").count().toPandas().sort_values("bytes", ascending=False)
     bounds = schedule(sizes["bytes"].tolist(), sizes["count"].tolist(), shards)
     spark = docs.sparkSession
@@ -87,5 +87,5 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     own = F.filter("shares", lambda x: F.col("rank") < x["high"])[0]["shard"]
     placed = ranked.join(by_size, "bytes").select("key", "members", own.alias("shard"))
     total = rows.count()
-    out = with_ranks(join_groups(rows, placed, ["key"], "members", total).select("id", "size", "crc", "shard"), "shard", "shards")
+    out = with_ranks(join_groups(rows, placed, ["key"], "members", total).select("id", "size", "crc", "key", "shard"), "shard", ["id", "key"], "shards")
     return out.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", F.col("rank").alias("slot"))

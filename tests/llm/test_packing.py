@@ -154,3 +154,28 @@ def test_mix(spark, epochs):
                 want[x[:4]] += times
     assert got == want
     assert mix(docs.limit(0), [F.col("lang")], [{}], 0.5).collect() == []
+
+
+def test_results_do_not_depend_on_how_rows_lie(spark):
+    r = random.Random(5)
+    docs = documents(spark, [" ".join(r.choice(["a", "bb", "ccc"]) for _ in range(r.randint(0, 12))) for _ in range(400)])
+    packed = lambda d: pack(token_pieces(d, word_tokens(tokenizer_path()), length=8, digest=True), 8)
+    for op in (lambda d: shard(d, 5), packed):
+        a, b = (sorted(map(tuple, op(d).collect())) for d in (docs.repartition(3), docs.orderBy(F.desc("doc_id")).repartition(7, "text")))
+        assert a == b
+    same = documents(spark, ["x y"]).crossJoin(spark.range(200).withColumnRenamed("id", "n")).drop("n")
+    got = shard(same, 3).collect()
+    assert sorted(row.slot for row in got) == list(range(200)) and len({row.shard for row in got}) == 1
+
+
+def test_packing_takes_no_more_sequences_than_best_fit(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    got = pack(token_pieces(docs, word_tokens(tokenizer_path()), digest=True)).collect()
+    bins = []
+    for size in sorted((row.length for row in got), reverse=True):
+        fits = [(left, i) for i, left in enumerate(bins) if left >= size]
+        if fits:
+            bins[min(fits)[1]] -= size
+        else:
+            bins.append(4096 - size)
+    assert len({row.sequence_id for row in got}) == len(bins)
