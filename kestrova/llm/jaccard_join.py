@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, join_groups, release, scratch, written
+from ._common import components, join_groups, lean, release, scratch, written
 from .textvec import hashes, mix, pieces, shingles, words
 
 #: Bins of the least sketch, and of what is looked at first.
@@ -213,9 +213,10 @@ def linked(docs: DataFrame, words_each: int = 3, num: int = 90, den: int = 100,
     kind = source.schema["id"].dataType.simpleString()
 
     def describe(batches):
+        lean()
         for batch in batches:
             at = 0
-            for texts in pieces(batch.column(1)):
+            for texts in pieces(batch.column(1), 1 << 20):
                 own = batch.column(0).slice(at, len(texts))
                 at += len(texts)
                 s = shingle_sets(texts, words_each)
@@ -233,7 +234,7 @@ def linked(docs: DataFrame, words_each: int = 3, num: int = 90, den: int = 100,
 
     def sign(batches):
         for batch in batches:
-            for texts in pieces(batch.column(0), 1 << 21):
+            for texts in pieces(batch.column(0), 1 << 20):
                 s = shingle_sets(texts, words_each)
                 key, owner, probes = signatures(s, b, seed)
                 sid = _sums(s, seed)[owner].view(np.int64)
@@ -367,6 +368,7 @@ def _across(sides: DataFrame, parts: DataFrame, sets: DataFrame, num: int, den:
     dealt = every.unionByName(past.select(*every.columns)).drop("blocks").repartition("key", "block").sortWithinPartitions("key", "block", "past")
 
     def prune(batches):
+        lean()
         held = None  # of the last key and block, whose rows may go on in the next batch
         for batch in batches:
             rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "past", "sid", "component", "n", "streams", "sketch")]
@@ -387,8 +389,8 @@ def _across(sides: DataFrame, parts: DataFrame, sets: DataFrame, num: int, den:
             asked = np.flatnonzero(past)
             upto = np.cumsum(many[group[asked]])
             out, at = [(np.zeros(0, np.int64),) * 4 + (np.zeros(0, bool),)], 0
-            while at < len(asked):  # some 200,000 pairs at a time, all of a row's together
-                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 200_000, side="right")))
+            while at < len(asked):  # some 50,000 pairs at a time, all of a row's together
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 50_000, side="right")))
                 i = np.repeat(asked[at:to], many[group[asked[at:to]]])
                 start = np.concatenate([[0], upto[at:to] - (upto[at - 1] if at else 0)])
                 j = np.arange(len(i)) + np.repeat(first[group[asked[at:to]]] - start[:-1], np.diff(start))

@@ -53,3 +53,21 @@ def test_queries_match_sql(spark, small, name):
     for path in glob.glob(f"{small}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS FROM '{path}'")
     same(QUERIES[name](spark, small).toPandas(), con.execute(ORACLE_SQL[name]).df())
+
+
+def test_run_goes_on_and_cleans_up(spark, small, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/run"
+    real = cp.STAGES[3][1]
+
+    def lost(*args):
+        raise RuntimeError("the driver is lost")
+
+    monkeypatch.setattr(cp, "STAGES", [*cp.STAGES[:3], ("mixing", lost), cp.STAGES[4]])
+    with pytest.raises(RuntimeError):
+        cp.run(spark, small, folder)
+    assert sorted(os.listdir(tmp_path / "run")) == ["2"]
+    ran = []
+    monkeypatch.setattr(cp, "STAGES", [(n, lambda *a, f=f, n=n: ran.append(n) or f(*a)) for n, f in [*cp.STAGES[:3], ("mixing", real), cp.STAGES[4]]])
+    out = cp.run(spark, small, folder)
+    assert ran == ["mixing", "packing"] and out.count() > 0 and sorted(os.listdir(tmp_path / "run")) == ["4"]
+    assert cp._made.get() == []
