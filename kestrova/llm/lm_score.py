@@ -78,53 +78,63 @@ def _hidden(net: Network, around: np.ndarray) -> np.ndarray:
     return np.tanh(sum(net.embed[around[:, p]] @ net.mix[p] for p in range(2 * _WINDOW)) + net.base)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
 
 
-def log_probabilities(net: Network, ids: np.ndarray, around: np.ndarray, at_once: int = 1 << 15) -> np.ndarray:
+def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each row only the value at one place; ``x`` is overwritten."""
+    x -= x.max(1, keepdims=True)
+    own = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    return own - np.log(x.sum(1))
+
+
+def log_probabilities(net: Network, ids: np.ndarray, around: np.ndarray, at_once: int = 1 << 13) -> np.ndarray:
     """log P(word | the words around it) of each place. A word out of the vocabulary has the part
     of its number's probability that one occurrence has; ``pseudo_likelihood`` adds the log of its count."""
     out = np.empty(len(ids), dtype=np.float64)
     classes, each = net.to_word.shape[0], net.to_word.shape[2]
     rare = np.broadcast_to(net.rare, each)
     for low in range(0, len(ids), at_once):
-        own, h = ids[low : low + at_once], _hidden(net, around[low : low + at_once])
-        group = own // each
-        every = np.arange(len(own))
-        value = _log_softmax(h @ net.to_class + net.class_bias)[every, group]
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(classes + 1))
-        for c in range(classes):
-            rows = order[ends[c] : ends[c + 1]]
-            if len(rows):
-                value[rows] += _log_softmax(h[rows] @ net.to_word[c] + net.word_bias[c])[np.arange(len(rows)), own[rows] % each]
-        out[low : low + at_once] = value - rare[own % each] * (own >= (classes - 1) * each)
+        # by class, so that a class's rows lie together
+        order = low + np.argsort((ids[low : low + at_once] // each).astype(np.uint16), kind="stable")
+        own, h = ids[order], _hidden(net, around[order])
+        group, word = own // each, own % each
+        value = _log_softmax_at(h @ net.to_class + net.class_bias, group)
+        ends = np.searchsorted(group, np.arange(classes + 1))
+        for c in np.unique(group).tolist():
+            rows = slice(ends[c], ends[c + 1])
+            value[rows] += _log_softmax_at(h[rows] @ net.to_word[c] + net.word_bias[c], word[rows])
+        out[order] = value - rare[word] * (own >= (classes - 1) * each)
     return out
 
 
 def _learn(net: Network, ids: np.ndarray, around: np.ndarray, memory: dict[str, np.ndarray], rate: float) -> Network:
     """One step by the gradient of the mean log-probability, scaled by past gradients (Adagrad)."""
     n, classes, each = len(ids), net.to_word.shape[0], net.to_word.shape[2]
+    order = np.argsort((ids // each).astype(np.uint16), kind="stable")
+    ids, around = ids[order], around[order]  # by class, so that a class's rows lie together
     h = _hidden(net, around)
-    group = ids // each
+    group, word = ids // each, ids % each
     slope = {k: np.zeros_like(getattr(net, k)) for k in _WEIGHTS if k != "embed"}
-    p = np.exp(_log_softmax(h @ net.to_class + net.class_bias))
+    p = _softmax(h @ net.to_class + net.class_bias)
     p[np.arange(n), group] -= 1
     p /= n
     slope["to_class"], slope["class_bias"] = h.T @ p, p.sum(0)
     back = p @ net.to_class.T
-    order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(classes + 1))
-    for c in range(classes):
-        rows = order[ends[c] : ends[c + 1]]
-        if len(rows):
-            p = np.exp(_log_softmax(h[rows] @ net.to_word[c] + net.word_bias[c]))
-            p[np.arange(len(rows)), ids[rows] % each] -= 1
-            p /= n
-            slope["to_word"][c], slope["word_bias"][c] = h[rows].T @ p, p.sum(0)
-            back[rows] += p @ net.to_word[c].T
+    ends = np.searchsorted(group, np.arange(classes + 1))
+    for c in np.unique(group).tolist():
+        rows = slice(ends[c], ends[c + 1])
+        p = _softmax(h[rows] @ net.to_word[c] + net.word_bias[c])
+        p[np.arange(len(p)), word[rows]] -= 1
+        p /= n
+        slope["to_word"][c], slope["word_bias"][c] = h[rows].T @ p, p.sum(0)
+        back[rows] += p @ net.to_word[c].T
     back *= 1 - h * h
     slope["base"] = back.sum(0)
     for k in range(2 * _WINDOW):
@@ -147,7 +157,7 @@ def _learn(net: Network, ids: np.ndarray, around: np.ndarray, memory: dict[str,
     return net._replace(**new)
 
 
-def train_network(docs: DataFrame, text_col: str = "text", share: float = 0.5, rounds: int = 2, width: int = 16, batch: int = 2048, rate: float = 0.05, seed: int = 5) -> Network:
+def train_network(docs: DataFrame, text_col: str = "text", share: float = 0.5, rounds: int = 2, width: int = 16, batch: int = 8192, rate: float = 0.1, seed: int = 5) -> Network:
     """A network trained on the corpus. The vocabulary is the commonest words of
     all documents, as many as ``side_of`` says. In each round every task trains a copy on its part of a fresh ``share``
     of the documents (by hash; by default two rounds learn from every document, once), whole texts each, and the copies'

@@ -224,3 +224,41 @@ def test_words_out_of_the_vocabulary_share_by_count(spark, monkeypatch):
         bias = net.word_bias[-1][(number % np.uint64(net.to_word.shape[2])).astype(int)] - net.rare[(number % np.uint64(net.to_word.shape[2])).astype(int)]
         assert got[0].log_likelihood - got[1].log_likelihood == pytest.approx(bias[0] - bias[1] + math.log(3), abs=1e-4)
         assert all(r.per_token == r.log_likelihood and r.n_tokens == 1 for r in got.values())
+
+
+def test_gradient_by_differences():
+    """The first step of Adagrad goes by the gradient's signs; its squares are in the memory."""
+    rng = np.random.default_rng(7)
+    width, size = 3, lm_score._SIZE
+    net = lm_score.Network(np.zeros(0, np.uint64), np.zeros(0, np.int64), *((rng.normal(size=s) * 0.3) for s in ((size + 1, width), (4, width, width), (width,), (width, 64), (64,), (64, width, 64), (64, 64))))
+    ids, around = rng.integers(0, 200, 50), rng.integers(0, 200, (50, 4))
+    loss = lambda n: -lm_score.log_probabilities(n, ids, around).mean()
+    memory = {}
+    after = lm_score._learn(net, ids, around, memory, 1e-3)
+    for name, at in (("embed", (around[3, 1], 1)), ("mix", (2, 0, 1)), ("base", (2,)), ("to_class", (1, ids[0] // 64)), ("class_bias", (ids[5] // 64,)), ("to_word", (ids[2] // 64, 0, ids[2] % 64)), ("word_bias", (ids[9] // 64, ids[9] % 64))):
+        moved = []
+        for step in (1e-5, -1e-5):
+            x = getattr(net, name).copy()
+            x[at] += step
+            moved.append(loss(net._replace(**{name: x})))
+        slope = (moved[0] - moved[1]) / 2e-5
+        assert np.sqrt(memory[name][at]) == pytest.approx(abs(slope), rel=1e-3, abs=2e-4), name
+        assert np.sign(getattr(after, name)[at] - getattr(net, name)[at]) == -np.sign(slope)
+
+
+def test_scores_by_a_plain_loop(spark):
+    texts = ["a b c a b", "b a d c", "", "a", "e f g a b c d"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    net = lm_score.train_network(frame, width=4)
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    known = dict(zip(net.terms.tolist(), net.number.tolist()))
+    for r in lm_score.pseudo_likelihood(frame, net).collect():
+        w = texts[r.doc_id].split()
+        number = [known[h] for h in hashes(words(pa.array([" ".join(w)]))).tolist()] if w else []
+        total = 0.0
+        for i in range(len(w)):
+            around = [number[j] if 0 <= j < len(w) else len(net.embed) - 1 for j in (i - 2, i - 1, i + 1, i + 2)]
+            h = np.tanh(sum(net.embed[a].astype(float) @ net.mix[k] for k, a in enumerate(around)) + net.base)
+            c, k = divmod(number[i], net.to_word.shape[2])
+            total += math.log(softmax(h @ net.to_class + net.class_bias)[c]) + math.log(softmax(h @ net.to_word[c] + net.word_bias[c])[k])
+        assert r.log_likelihood == pytest.approx(total, abs=1e-3) and r.n_tokens == len(w)
