@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: The tables that ``written`` makes in a ``scratch`` go here; another thread has its own.
 _tables: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("tables", default=None)
 
@@ -36,18 +37,29 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+@contextmanager
+def thrifty(spark: SparkSession) -> Iterator[None]:
+    """For writing a table: its shuffle files go when it is written, not when the driver's garbage
+    does, and rows go to Python in batches of 8 MB, whatever a row holds."""
+    settings = {_CLEANUP: "true", _BATCH: str(1 << 23)}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: cuts the lineage
     and survives the loss of any executor. It is deleted when its ``scratch`` is released, or when the
     driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/kestrova/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")  # its shuffle files go when it is written, not when the driver's garbage does
-    try:
+    with thrifty(spark):
         df.write.option("compression", compression).parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     delete_on_exit(spark, path)
     made = _tables.get()
     if made is not None:
@@ -117,11 +129,26 @@ def lean() -> None:
     if _kept:
         _kept.clear()
         gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system."""
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):  # glibc alone has it
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches; then its worker, which waits for others, gives back what it freed."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        trim()
+
+    return tidied
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], count: str, total: int) -> DataFrame:
     """Inner join of rows with one row a group. Groups that hold over a thousandth
     of the rows number under 1000, so they are broadcast and their rows stay where

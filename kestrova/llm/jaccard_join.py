@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, join_groups, lean, release, scratch, written
+from ._common import components, join_groups, lean, release, scratch, tidy, written
 from .textvec import hashes, mix, pieces, shingles, words
 
 #: Bins of the least sketch, and of what is looked at first.
@@ -216,7 +216,7 @@ def linked(docs: DataFrame, words_each: int = 3, num: int = 90, den: int = 100,
         lean()
         for batch in batches:
             at = 0
-            for texts in pieces(batch.column(1), 1 << 20):
+            for texts in pieces(batch.column(1), 1 << 19):
                 own = batch.column(0).slice(at, len(texts))
                 at += len(texts)
                 s = shingle_sets(texts, words_each)
@@ -225,7 +225,7 @@ def linked(docs: DataFrame, words_each: int = 3, num: int = 90, den: int = 100,
                     names=["id", "n", "sid", "other", "sketch"],
                 )
 
-    rows = written(source.mapInArrow(describe, f"id {kind}, n long, sid long, other long, sketch binary"), "sets")
+    rows = written(source.mapInArrow(tidy(describe), f"id {kind}, n long, sid long, other long, sketch binary"), "sets")
     sets = rows.filter("n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("other").alias("low"), F.max("other").alias("high"))
     sets = written(sets, "distinct")
     if not sets.filter("low <> high").isEmpty():  # two sets have one hash: hash otherwise
@@ -234,7 +234,7 @@ def linked(docs: DataFrame, words_each: int = 3, num: int = 90, den: int = 100,
 
     def sign(batches):
         for batch in batches:
-            for texts in pieces(batch.column(0), 1 << 20):
+            for texts in pieces(batch.column(0), 1 << 19):
                 s = shingle_sets(texts, words_each)
                 key, owner, probes = signatures(s, b, seed)
                 sid = _sums(s, seed)[owner].view(np.int64)
@@ -255,7 +255,7 @@ def linked(docs: DataFrame, words_each: int = 3, num: int = 90, den: int = 100,
 
     # lead is 0 for a row that is still to meet others of its key; a member that has met
     # its first set goes anywhere, so hot keys don't gather in one task
-    dealt = source.select("text").mapInArrow(sign, "key long, lead long, sid long")
+    dealt = source.select("text").mapInArrow(tidy(sign), "key long, lead long, sid long")
     dealt = dealt.repartition(F.when(F.col("lead") == 0, F.shiftrightunsigned("key", 1)).otherwise(F.xxhash64("key", "sid"))).sortWithinPartitions("key", "sid")
 
     def meet(batches):
@@ -418,7 +418,7 @@ def _across(sides: DataFrame, parts: DataFrame, sets: DataFrame, num: int, den:
             held = [x[last] for x in rows]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b", "key", "asker", "more"])
 
-    return dealt.mapInArrow(prune, "a long, b long, key long, asker long, more boolean")
+    return dealt.mapInArrow(tidy(prune), "a long, b long, key long, asker long, more boolean")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, source: DataFrame, words_each: int, num: int, den: int, seed: int, most_broadcast: int = 1 << 20) -> DataFrame:
@@ -433,7 +433,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, source: DataFrame, words_each:
     def make(batches):
         for batch in batches:
             at = 0
-            for texts in pieces(batch.column(0)):
+            for texts in pieces(batch.column(0), 1 << 19):
                 asked = batch.column(1).slice(at, len(texts)).to_numpy()
                 at += len(texts)
                 s = shingle_sets(texts, words_each)
@@ -443,7 +443,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, source: DataFrame, words_each:
                 batch_out = pa.RecordBatch.from_arrays([pa.array(own), data], names=["sid", "tokens"])
                 yield batch_out.filter(pa.array(own == asked))
 
-    made = written(source.join(need, F.col("id").eqNullSafe(F.col("of"))).select("text", "sid").mapInArrow(make, "sid long, tokens binary"), "made")
+    made = written(source.join(need, F.col("id").eqNullSafe(F.col("of"))).select("text", "sid").mapInArrow(tidy(make), "sid long, tokens binary"), "made")
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / 500).cast("int").alias("salts"))
     salted = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts").cast("int"))
     first = salted.select("a", "salt").distinct().join(made.withColumnRenamed("sid", "a"), "a").withColumn("b", F.lit(None).cast("long"))
@@ -465,4 +465,4 @@ def _verified(pairs: DataFrame, sets: DataFrame, source: DataFrame, words_each:
                     out.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in out], type=pa.int64()), pa.array([b[i] for i in out], type=pa.int64())], names=["a", "b"])
 
-    return dealt.select("a", "salt", "b", "tokens").mapInArrow(compare, "a long, b long")
+    return dealt.select("a", "salt", "b", "tokens").mapInArrow(tidy(compare), "a long, b long")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import lean
+from ._common import lean, tidy
 from .textvec import Words, pieces, raw, words
 
 #: The Unicode ranges of the commoner scripts. Letters outside them are "other".
@@ -124,7 +124,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
         for batch in batches:
             langs = batch.column(1).to_numpy()
             at = 0
-            for texts in pieces(batch.column(0)):
+            for texts in pieces(batch.column(0), 1 << 19):
                 own = langs[at : at + len(texts)]
                 at += len(texts)
                 w = words(texts)
@@ -142,7 +142,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
             k, b = np.nonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array((b + base).astype(np.int32)), pa.array(table[k, b])], names=["lang", "bucket", "n"])
 
-    got = rows.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = rows.mapInArrow(tidy(count), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     grams, scripts = np.zeros((len(languages), BUCKETS)), np.zeros((len(languages), n_scripts))
     own = got[got.bucket < BUCKETS]
     grams[own.lang, own.bucket] = own.n
@@ -284,4 +284,4 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, id_col
         span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())])
         schema = schema.add("spans", T.ArrayType(span))
     schema = T.StructType([*schema.fields, *(source.schema[c] for c in carry)])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import keep, with_ranks, written
+from ._common import keep, tidy, with_ranks, written
 from .textvec import hashes, words
 from .textvec import pieces as slices
 
@@ -28,6 +28,9 @@ class WordTokens:
     #: The tokenizer's own split pattern: a fixed value.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+    #: Words a call of the tokenizer: what it returns takes hundreds of bytes a token.
+    STEP = 4096
+
     def __init__(self, path: str, most: int = 1 << 20):
         import regex
         from tokenizers import Tokenizer
@@ -46,19 +49,23 @@ class WordTokens:
     def _tokens(self, new: list[str]) -> list[bytes]:
         """The ids of each word, as the bytes of 16-bit numbers."""
         split = [self.split(w.lower()) if self.latin(w) and "<|" not in w else None for w in new]
-        if len(self.parts) > self.most // 4:
+        if len(self.parts) > self.most // 16:
             self.parts = {}
         parts = self.parts
         fresh = list(dict.fromkeys(p for s in split if s for p in s if p not in parts))
-        if fresh:
-            got = self.tokenizer.encode(" ".join(fresh), add_special_tokens=False)
+        for at in range(0, len(fresh), self.STEP):
+            step = fresh[at : at + self.STEP]
+            got = self.tokenizer.encode(" ".join(step), add_special_tokens=False)
             ids, owner = np.array(got.ids, dtype=np.uint16).tobytes(), np.array(got.word_ids)
-            if owner.max(initial=-1) != len(fresh) - 1:
+            if owner.max(initial=-1) != len(step) - 1:
                 raise ValueError("the tokenizer splits words otherwise than its pattern")
-            ends = (2 * np.searchsorted(owner, np.arange(len(fresh) + 1))).tolist()
-            parts.update((p, ids[a:b]) for p, a, b in zip(fresh, ends[:-1], ends[1:]))
-        whole = [w for w, s in zip(new, split) if s is None]
-        whole = dict(zip(whole, (np.array(e.ids, dtype=np.uint16).tobytes() for e in self.tokenizer.encode_batch(whole, add_special_tokens=False))))
+            ends = (2 * np.searchsorted(owner, np.arange(len(step) + 1))).tolist()
+            parts.update((p, ids[a:b]) for p, a, b in zip(step, ends[:-1], ends[1:]))
+        rest = [w for w, s in zip(new, split) if s is None]
+        whole = {}
+        for at in range(0, len(rest), self.STEP):
+            step = rest[at : at + self.STEP]
+            whole.update(zip(step, (np.array(e.ids, dtype=np.uint16).tobytes() for e in self.tokenizer.encode_batch(step, add_special_tokens=False))))
         return [whole[w] if s is None else b"".join([parts[p] for p in s]) for w, s in zip(new, split)]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +109,7 @@ def token_pieces(docs: DataFrame, tokens: Callable[[], Callable], length: int =
         tokenize = tokens()
         for batch in batches:
             at = 0
-            for texts in slices(batch.column(1), 1 << 21):
+            for texts in slices(batch.column(1), 1 << 19):
                 own = batch.column(0).slice(at, len(texts))
                 at += len(texts)
                 ids, ends = tokenize(texts)
@@ -133,7 +140,7 @@ def token_pieces(docs: DataFrame, tokens: Callable[[], Callable], length: int =
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, piece int, start long, length long, {last}").withColumnRenamed("id", id_col)
+    return source.mapInArrow(tidy(run), f"id {kind}, piece int, start long, length long, {last}").withColumnRenamed("id", id_col)
 
 
 class Tightest:
