@@ -14,7 +14,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kestrova.llm._common import delete, delete_on_exit, exists, release, scratch, shared_folder, small, written
+from kestrova.llm._common import delete, delete_on_exit, exists, release, scratch, shared_folder, small, thrifty, written
 from kestrova.llm.exact_dedup import exact_dedup
 from kestrova.llm.jaccard_join import linked
 from kestrova.llm.langid import identify, train
@@ -112,7 +112,9 @@ def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFram
     for k, (_, stage) in enumerate(STAGES):
         if done and k <= done[-1]:
             continue
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{base}/{k}")
+        out = stage(spark, docs, sf_dir)
+        with thrifty(spark):
+            out.write.mode("overwrite").parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
         delete(spark, f"{base}/{k - 1}")
     release(_made.get() or [])
