@@ -20,6 +20,7 @@ _SIZE = _CLASSES * _EACH
 #: The rarest class stands for all other words, by hash.
 _KNOWN = _SIZE - _EACH
 _WINDOW = 2
+_ROWS = 1024
 #: Counts of the commonest words out of the vocabulary that are broadcast; others are joined.
 _HEAD = 1 << 18
 
@@ -74,24 +75,62 @@ def _numbers(texts: pa.Array, net: Network) -> tuple[np.ndarray, np.ndarray, np.
     return ids, w.text, around, h
 
 
-def _hidden(net: Network, around: np.ndarray) -> np.ndarray:
-    return np.tanh(sum(net.embed[around[:, p]] @ net.mix[p] for p in range(2 * _WINDOW)) + net.base)
+def _around(net: Network, around: np.ndarray) -> list[np.ndarray]:
+    """The vectors of the words around, place by place."""
+    return [net.embed.take(places, axis=0, mode="clip") for places in np.ascontiguousarray(around.T)]
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+def _hidden(net: Network, vectors: list[np.ndarray]) -> np.ndarray:
+    h = vectors[0] @ net.mix[0]
+    for vector, mix in zip(vectors[1:], net.mix[1:]):
+        h += vector @ mix
+    h += net.base
+    return np.tanh(h, out=h)
+
+
+def _order(numbers: np.ndarray, most: int) -> np.ndarray:
+    """The stable order of whole numbers of at most ``most``; short types are sorted by digits."""
+    return np.argsort(numbers.astype(np.uint16 if most < 1 << 16 else np.int64), kind="stable")
+
+
+def _values(h: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Of each row of ``h`` the values of the choices, whose exp neither overflows nor vanishes: values beyond 40
+    are taken less the row's largest, which a softmax doesn't see."""
+    x = h @ weight
+    x += bias
+    if x.size and not (x.max() < 40 and x.min() > -40):
+        x -= x.max(1, keepdims=True)
     return x
 
 
-def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of each row only the value at one place; ``x`` is overwritten."""
-    x -= x.max(1, keepdims=True)
-    own = x[np.arange(len(x)), at]
-    np.exp(x, out=x)
-    return own - np.log(x.sum(1))
+def _parts(n: int) -> list[slice]:
+    """Rows at once whose values fit a core's cache."""
+    return [slice(low, low + _ROWS) for low in range(0, n, _ROWS)]
+
+
+def _log_share(h: np.ndarray, weight: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log of the softmax of each row's values at one choice."""
+    out, ones = np.empty(len(h), h.dtype), np.ones(weight.shape[1], h.dtype)
+    for part in _parts(len(h)):
+        x = _values(h[part], weight, bias)
+        own = x[np.arange(len(x)), at[part]]
+        np.exp(x, out=x)
+        out[part] = own - np.log(x @ ones)
+    return out
+
+
+def _pull(h: np.ndarray, weight: np.ndarray, bias: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The slopes by weight, bias and ``h`` of minus the log of the softmax at each row's choice, over ``n``."""
+    by_weight, by_bias, back, ones = np.zeros_like(weight), np.zeros_like(bias), np.empty_like(h), np.ones(weight.shape[1], h.dtype)
+    for part in _parts(len(h)):
+        x = _values(h[part], weight, bias)
+        np.exp(x, out=x)
+        x *= (1 / (x @ ones * n))[:, None].astype(x.dtype)
+        x[np.arange(len(x)), at[part]] -= 1 / n
+        by_weight += h[part].T @ x
+        by_bias += x.sum(0)
+        back[part] = x @ weight.T
+    return by_weight, by_bias, back
 
 
 def log_probabilities(net: Network, ids: np.ndarray, around: np.ndarray, at_once: int = 1 << 13) -> np.ndarray:
@@ -102,14 +141,14 @@ def log_probabilities(net: Network, ids: np.ndarray, around: np.ndarray, at_once
     rare = np.broadcast_to(net.rare, each)
     for low in range(0, len(ids), at_once):
         # by class, so that a class's rows lie together
-        order = low + np.argsort((ids[low : low + at_once] // each).astype(np.uint16), kind="stable")
-        own, h = ids[order], _hidden(net, around[order])
+        order = low + _order(ids[low : low + at_once] // each, classes)
+        own, h = ids[order], _hidden(net, _around(net, around.take(order, axis=0)))
         group, word = own // each, own % each
-        value = _log_softmax_at(h @ net.to_class + net.class_bias, group)
+        value = _log_share(h, net.to_class, net.class_bias, group)
         ends = np.searchsorted(group, np.arange(classes + 1))
         for c in np.unique(group).tolist():
             rows = slice(ends[c], ends[c + 1])
-            value[rows] += _log_softmax_at(h[rows] @ net.to_word[c] + net.word_bias[c], word[rows])
+            value[rows] += _log_share(h[rows], net.to_word[c], net.word_bias[c], word[rows])
         out[order] = value - rare[word] * (own >= (classes - 1) * each)
     return out
 
@@ -117,32 +156,28 @@ def log_probabilities(net: Network, ids: np.ndarray, around: np.ndarray, at_once
 def _learn(net: Network, ids: np.ndarray, around: np.ndarray, memory: dict[str, np.ndarray], rate: float) -> Network:
     """One step by the gradient of the mean log-probability, scaled by past gradients (Adagrad)."""
     n, classes, each = len(ids), net.to_word.shape[0], net.to_word.shape[2]
-    order = np.argsort((ids // each).astype(np.uint16), kind="stable")
-    ids, around = ids[order], around[order]  # by class, so that a class's rows lie together
-    h = _hidden(net, around)
+    order = _order(ids // each, classes)
+    ids, around = ids[order], around.take(order, axis=0)  # by class, so that a class's rows lie together
+    vectors = _around(net, around)
+    h = _hidden(net, vectors)
     group, word = ids // each, ids % each
     slope = {k: np.zeros_like(getattr(net, k)) for k in _WEIGHTS if k != "embed"}
-    p = _softmax(h @ net.to_class + net.class_bias)
-    p[np.arange(n), group] -= 1
-    p /= n
-    slope["to_class"], slope["class_bias"] = h.T @ p, p.sum(0)
-    back = p @ net.to_class.T
+    slope["to_class"], slope["class_bias"], back = _pull(h, net.to_class, net.class_bias, group, n)
     ends = np.searchsorted(group, np.arange(classes + 1))
     for c in np.unique(group).tolist():
         rows = slice(ends[c], ends[c + 1])
-        p = _softmax(h[rows] @ net.to_word[c] + net.word_bias[c])
-        p[np.arange(len(p)), word[rows]] -= 1
-        p /= n
-        slope["to_word"][c], slope["word_bias"][c] = h[rows].T @ p, p.sum(0)
-        back[rows] += p @ net.to_word[c].T
+        slope["to_word"][c], slope["word_bias"][c], more = _pull(h[rows], net.to_word[c], net.word_bias[c], word[rows], n)
+        back[rows] += more
     back *= 1 - h * h
     slope["base"] = back.sum(0)
     for k in range(2 * _WINDOW):
-        slope["mix"][k] = net.embed[around[:, k]].T @ back
+        slope["mix"][k] = vectors[k].T @ back
     places = around.T.ravel()
-    order = np.argsort(places, kind="stable")
-    at, first = np.unique(places[order], return_index=True)
-    own = np.add.reduceat(np.concatenate([back @ net.mix[k].T for k in range(2 * _WINDOW)])[order], first)
+    order = _order(places, len(net.embed))
+    places = places[order]
+    first = np.flatnonzero(np.append(True, places[1:] != places[:-1])) if n else np.zeros(0, np.int64)
+    at = places[first]
+    own = np.add.reduceat(np.concatenate([back @ net.mix[k].T for k in range(2 * _WINDOW)]).take(order, axis=0), first)
     own[at == len(net.embed) - 1] = 0
     new = {}
     for k, g in slope.items():
@@ -219,7 +254,7 @@ def train_network(docs: DataFrame, text_col: str = "text", share: float = 0.5, r
                     mixed = np.random.default_rng(seed).permutation(len(ids))
                     for low in range(0, len(ids), batch):
                         own = mixed[low : low + batch]
-                        net = _learn(net, ids[own], around[own], memory, rate * min(1.0, len(own) / batch))
+                        net = _learn(net, ids[own], around.take(own, axis=0), memory, rate * min(1.0, len(own) / batch))
                     seen += len(ids)
             if seen:
                 weights = flat(net).astype(np.float64) * seen
