@@ -43,7 +43,7 @@ def _ledger(slippage: float, brokerage: float):
 
     def step(state, code, seq, side, size, ask, bid, weight):
         out = []
-        if side == state["side"] and size == state["size"]:
+        if None in (side, size, ask, bid) or (side == state["side"] and size == state["size"]):
             return state, out
         if state["side"] == 0:
             if side != 0 and size != 0:
@@ -77,7 +77,8 @@ def operations(signals: DataFrame, slippage: float = 0.0, brokerage: float = 0.0
 
     A signal trades at the next row's price, and the last row closes what is open. Null signals
     and sizes are 0. Buying pays the ask and slippage, selling gets the bid less slippage;
-    brokerage is on the notional. A trade's id is its code and the seq at which it opened."""
+    brokerage is on the notional. A row whose ask or bid is null trades nothing; the next row goes by its own signal, and what
+    is open at such a last row stays open. A trade's id is its code and the seq at which it opened."""
     missing = [c for c in (*REQUIRED, ask, bid, CODE, SEQ) if c not in signals.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrova.series import CODE, SEQ
+from kestrova.series import CODE
 
 
 def _sum(x: Column) -> Column:
@@ -43,19 +45,66 @@ def pearson(df: DataFrame, a: str, b: str, by: tuple[str, ...] = (CODE,)) -> Dat
     return df.groupBy(*by).agg(F.corr(a, b).alias("pearson"))
 
 
-def distance_correlation(df: DataFrame, a: str, b: str, most: int = 2000) -> DataFrame:
-    """(code, distance_correlation) with absolute differences. All pairs of places of a code are compared: the
-    measure is of n**2 by definition, so a code of over ``most`` rows is refused."""
-    sizes = df.groupBy(CODE).agg(F.count(F.lit(1)).alias("_n"))
-    long = sizes.filter(F.col("_n") > most).first()
-    if long is not None:
-        raise ValueError(f"code {long[CODE]!r} has {long['_n']} rows; the limit is {most}")
-    left = df.select(CODE, F.col(SEQ).alias("i"), F.col(a).alias("a1"), F.col(b).alias("b1"))
-    right = df.select(CODE, F.col(SEQ).alias("j"), F.col(a).alias("a2"), F.col(b).alias("b2"))
-    pairs = left.join(right, CODE).select(CODE, "i", "j", F.abs(F.col("a1") - F.col("a2")).alias("u"), F.abs(F.col("b1") - F.col("b2")).alias("v"))
-    centred = {}
-    for c in ("u", "v"):
-        mean = lambda *by: F.avg(c).over(Window.partitionBy(CODE, *by))  # noqa: B023, E731
-        centred[f"c{c}"] = F.col(c) - mean("i") - mean("j") + mean()
-    rows = pairs.withColumns(centred).groupBy(CODE).agg(F.avg(F.col("cu") * F.col("cv")).alias("uv"), F.avg(F.col("cu") * F.col("cu")).alias("uu"), F.avg(F.col("cv") * F.col("cv")).alias("vv"))
-    return rows.select(CODE, F.sqrt(F.try_divide(F.col("uv"), F.sqrt(F.col("uu") * F.col("vv")))).alias("distance_correlation"))
+def _gap_sums(x: np.ndarray) -> np.ndarray:
+    """For each value the sum of its absolute differences from all."""
+    order = np.argsort(x, kind="stable")
+    y, n = x[order], len(x)
+    before = np.cumsum(y) - y
+    out = np.empty(n)
+    out[order] = y * np.arange(n) - before + (before[-1] + y[-1] - before - y) - y * np.arange(n - 1, -1, -1)
+    return out
+
+
+def _gap_products(x: np.ndarray, y: np.ndarray) -> float:
+    """The sum over all pairs of places of abs(x - x') abs(y - y'). With places by x, (x' - x)(y' - y) counts as it is
+    where y rises and with the other sign where it falls. Pairs are met as in a merge sort: halves of 1, 2, 4, ...
+    places, each right half against its left half, by running sums in order of y."""
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    n = len(x)
+    by_y, total = np.argsort(y, kind="stable"), 0.0
+    half = 1
+    while half < n:
+        place = by_y[np.argsort(by_y // (2 * half), kind="stable")]  # by block, then by y
+        left = place // half % 2 == 0
+        at, px, py = np.flatnonzero(~left), x[place], y[place]
+        if len(at):
+            first = np.searchsorted(place // (2 * half), place[at] // (2 * half))
+            last = np.searchsorted(place // (2 * half), place[at] // (2 * half), side="right")
+
+            def below_less_above(value):
+                run = np.concatenate([[0.0], np.cumsum(np.where(left, value, 0.0))])
+                return 2 * run[at] - run[first] - run[last]  # noqa: B023
+
+            rx, ry = px[at], py[at]
+            total += float((rx * ry * below_less_above(np.ones(n)) - ry * below_less_above(px) - rx * below_less_above(py) + below_less_above(px * py)).sum())
+        half *= 2
+    return 2 * total
+
+
+def _distance_correlation(x: np.ndarray, y: np.ndarray) -> float | None:
+    n = len(x)
+    if not n:
+        return None
+    x, y = x - x[0], y - y[0]
+    a, b = _gap_sums(x), _gap_sums(y)
+
+    def mean(products, a, b):
+        return max(products / n**2 - 2 * float((a * b).sum()) / n**3 + float(a.sum() * b.sum()) / n**4, 0.0)
+
+    squares = [2 * n * float((v * v).sum()) - 2 * float(v.sum()) ** 2 for v in (x, y)]
+    own = np.sqrt(mean(squares[0], a, a) * mean(squares[1], b, b))
+    return float(np.sqrt(mean(_gap_products(x, y), a, b) / own)) if own > 0 else None
+
+
+def distance_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(code, distance_correlation) with absolute differences, over all pairs of places of a code, which are summed in
+    n log(n)**2 steps by sorting, so there is no limit on a code's rows; one code's two columns are one task's.
+    Rows with a null in either column don't count. Null where a column has one value only, or no row is left."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = frame.dropna()
+        return pd.DataFrame({CODE: frame[CODE].iloc[:1], "distance_correlation": [_distance_correlation(rows["a"].to_numpy(float), rows["b"].to_numpy(float))]})
+
+    rows = df.select(CODE, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    return rows.groupBy(CODE).applyInPandas(run, f"{CODE} {rows.schema[CODE].dataType.simpleString()}, distance_correlation double")

@@ -69,16 +69,17 @@ def calibration(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFr
 
 
 def roc(df: DataFrame, score: str, label: str, thresholds: int = 101) -> DataFrame:
-    """(threshold, true_positive_rate, false_positive_rate, precision) on an even grid of thresholds."""
+    """(threshold, true_positive_rate, false_positive_rate, precision) on an even grid of thresholds from 0 to 1.
+    A score at or over a threshold says 1; scores below 0 never do. Null scores and labels don't count."""
     y = F.col(label) == 1
-    place = F.floor(F.col(score) * (thresholds - 1)).cast("int")
-    counts = df.groupBy(place.alias("place")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
-    grid = df.sparkSession.range(thresholds).select(F.col("id").cast("int").alias("place"))
+    place = F.greatest(F.least(F.floor(F.col(score) * (thresholds - 1)), F.lit(thresholds - 1)), F.lit(-1)).cast("int")
+    counts = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(place.alias("place")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
+    grid = df.sparkSession.range(-1, thresholds).select(F.col("id").cast("int").alias("place"))
     over = Window.orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy()
     rows = grid.join(F.broadcast(counts), "place", "left").na.fill(0)
     rows = rows.withColumns({"tp": F.sum("pos").over(over), "fp": F.sum("neg").over(over), "p": F.sum("pos").over(every), "n": F.sum("neg").over(every)})
-    return rows.select((F.col("place") / (thresholds - 1)).alias("threshold"), _ratio(F.col("tp"), F.col("p")).alias("true_positive_rate"), _ratio(F.col("fp"), F.col("n")).alias("false_positive_rate"), _ratio(F.col("tp"), F.col("tp") + F.col("fp"), 1.0).alias("precision"))
+    return rows.filter("place >= 0").select((F.col("place") / (thresholds - 1)).alias("threshold"), _ratio(F.col("tp"), F.col("p")).alias("true_positive_rate"), _ratio(F.col("fp"), F.col("n")).alias("false_positive_rate"), _ratio(F.col("tp"), F.col("tp") + F.col("fp"), 1.0).alias("precision"))
 
 
 # -- returns -------------------------------------------------------------------

@@ -105,6 +105,16 @@ def test_ledger_by_hand(spark):
         backtest.operations(s.drop("size"))
 
 
+def test_ledger_skips_rows_without_prices(spark):
+    kind = "code string, seq long, date date, signal int, size double, ask_open double, bid_open double, portfolio_weight double"
+    prices = [(10.0, 9.0), (None, 9.0), (12.0, 11.0), (14.0, None), (15.0, 14.0)]
+    rows = [("x", i, date(2024, 1, 1 + i), 1 if i < 4 else 0, 1.0, ask, bid, 1.0) for i, (ask, bid) in enumerate(prices)]
+    got = [tuple(r) for r in backtest.operations(spark.createDataFrame(rows, kind)).orderBy("seq").select("seq", "entry_price", "exit_price").collect()]
+    assert got == [(2, 12.0, None), (4, 12.0, 14.0)]
+    open_ = backtest.operations(spark.createDataFrame(rows[:4], kind)).select("seq").collect()
+    assert [r.seq for r in open_] == [2]
+
+
 def test_ledger_conserves_quantity(spark):
     rng = np.random.default_rng(5)
     n = 28
@@ -230,3 +240,29 @@ def test_open_to_close_learns_from_balanced_draws(spark, small, monkeypatch):
     assert len(searched) == 1 and len(searched[0][2]) > 1
     assert len(counts) == 3 and counts.max() < 1.15 * counts.min()
     assert learnt.duplicated(["code", "seq"]).any() and out.count() > 0
+
+
+def test_distance_correlation_of_all_pairs(spark):
+    rng = np.random.default_rng(3)
+
+    def plain(x, y):
+        u, v = np.abs(x[:, None] - x), np.abs(y[:, None] - y)
+        u, v = (m - m.mean(0) - m.mean(1)[:, None] + m.mean() for m in (u, v))
+        return np.sqrt((u * v).mean() / np.sqrt((u * u).mean() * (v * v).mean()))
+
+    x = rng.normal(size=2500).round(1)
+    y = {"square": x * x, "ties": rng.integers(0, 3, 2500).astype(float), "free": rng.normal(size=2500)}
+    rows = [(k, i, float(a), float(b)) for k, v in y.items() for i, (a, b) in enumerate(zip(x, v))]
+    rows += [("flat", i, 2.0, float(i)) for i in range(4)] + [("free", 9999, None, 5.0), ("null", 0, None, 1.0)]
+    got = {r.code: r.distance_correlation for r in codependence.distance_correlation(spark.createDataFrame(rows, "code string, seq long, a double, b double"), "a", "b").collect()}
+    for k, v in y.items():
+        assert got[k] == pytest.approx(plain(x, v), abs=1e-9)
+    assert got["flat"] is None and got["null"] is None and len(got) == 5
+    assert codependence.distance_correlation(spark.createDataFrame([], "code string, seq long, a double, b double"), "a", "b").count() == 0
+
+
+def test_roc_counts_scores_beyond_its_grid(spark):
+    rows = [(-0.5, 1), (1.7, 1), (0.5, 0), (0.5, 1), (None, 1), (0.5, None)]
+    at = {round(r.threshold, 2): r for r in metrics.roc(spark.createDataFrame(rows, "p double, y int"), "p", "y").collect()}
+    assert (at[1.0].true_positive_rate, at[1.0].precision) == (pytest.approx(1 / 3), 1.0)
+    assert (at[0.0].true_positive_rate, at[0.0].false_positive_rate, at[0.0].precision) == (pytest.approx(2 / 3), 1.0, pytest.approx(2 / 3))
