@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrova.functions.fold import fold
-from kestrova.series import CODE, SEQ
+from kestrova.series import CODE, SEQ, quotient
 
 REQUIRED = ("signal", "size", "portfolio_weight", "date")
 
@@ -121,9 +121,10 @@ def underlying_summary(signals: DataFrame, ask: str = "ask_open") -> DataFrame:
 
 
 def quick_returns(df: DataFrame, price: str = "x", signal: str = "signal", size: str | None = None) -> DataFrame:
-    """The next row's return times the signal (and size)."""
+    """The next row's return times the signal (and size). From a price of zero the return is infinite on the side of the next
+    price, and NaN to zero; times a signal of 0 these are NaN."""
     order = Window.partitionBy(CODE).orderBy(SEQ)
-    value = (F.try_divide(F.lead(price).over(order), F.col(price)) - 1) * F.col(signal)
+    value = (quotient(F.lead(price).over(order), F.col(price)) - 1) * F.col(signal)
     return df.withColumn("strategy_return", value * F.col(size) if size else value)
 
 

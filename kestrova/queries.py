@@ -61,6 +61,13 @@ def rounded(df: DataFrame, names: dict[str, str], keys: tuple[str, ...] = (CODE,
     return df.select(*keys, *[F.round(F.col(f"`{n}`"), places).alias(a) for n, a in names.items()])
 
 
+def near(c: Column, places: int) -> Column:
+    """``c`` rounded as DuckDB does: the double c * 10**places to the nearest whole number. Spark rounds c's shortest decimal
+    instead, which differs where c lies within a rounding error of the middle between two results."""
+    made = F.round(c * 10.0**places) / 10.0**places
+    return F.when(F.abs(made) < float("inf"), made).otherwise(c)
+
+
 def _feature(kind: str, source: Callable, aliases: tuple[str, ...], inputs: tuple[str, ...] | None, params: dict) -> Callable:
     def run(spark: SparkSession, d: str) -> DataFrame:
         df = source(spark, d)
@@ -590,7 +597,7 @@ def _(spark, d):
 
 @query("quick_backtest", f"WITH {TICKS}, s AS (SELECT *, CAST(coalesce(sign(x - lag(x, 3) OVER o), 0) AS INT) AS signal, lead(x) OVER o / x - 1 AS r FROM ticks WINDOW o AS (PARTITION BY code ORDER BY seq)) SELECT code, seq, round(r * signal, 6) + 0.0 AS strategy_return FROM s")
 def _(spark, d):
-    return backtest.quick_returns(strategy.momentum_signal(ticks(spark, d), 3)).select(CODE, SEQ, (F.round("strategy_return", 6) + 0.0).alias("strategy_return"))
+    return backtest.quick_returns(strategy.momentum_signal(ticks(spark, d), 3)).select(CODE, SEQ, (near(F.col("strategy_return"), 6) + 0.0).alias("strategy_return"))
 
 
 @query("strategy_volatility_size", f"WITH {STEPS} SELECT code, seq, round(coalesce(least(0.1 / nullif(CASE WHEN count(r) OVER t = 10 THEN stddev_samp(r) OVER t END, 0), 1.0), 0), 6) AS size FROM steps {FRAMES}")

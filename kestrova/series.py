@@ -36,6 +36,14 @@ def relative(gap: Column, base: Column) -> Column:
     return F.coalesce(F.try_divide(gap, base), F.when(gap > 0, far).when(gap < 0, -far))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of doubles: over zero infinite, or NaN if a is zero or NaN, where Spark's own is null."""
+    a, b, far = a.cast("double"), b.cast("double"), float("inf")
+    side = F.when(b.cast("string").startswith("-"), -1.0).otherwise(1.0)
+    over_zero = F.when((a == 0) | F.isnan(a), float("nan")).when(a > 0, side * far).when(a < 0, -side * far)
+    return F.when(b == 0, over_zero).otherwise(F.try_divide(a, b))
+
+
 class Staged:
     """Columns that build on each other through windows.
 

@@ -4,6 +4,8 @@ import glob
 import os
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from kestrova.queries import ORACLE_SQL, QUERIES
@@ -47,3 +49,28 @@ def test_entry(spark, small):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def of_values(spark, folder, name, series):
+    """(Spark's rows, DuckDB's) of a query over events of users 0, 1 ... with these values, as text: NaN isn't null."""
+    rows = [(user, k, v) for user, values in enumerate(series) for k, v in enumerate(values)]
+    user, at, value = zip(*rows)
+    events = pa.table({"event_id": range(len(rows)), "ts": pa.array([10**15 + k for k in at], pa.timestamp("us")), "user_id": user, "value": pa.array(value, pa.float64())})
+    pq.write_table(events, f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS FROM '{folder}/events.parquet'")
+    text = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    return text(QUERIES[name](spark, str(folder)).collect()), text(con.execute(ORACLE_SQL[name]).fetchall())
+
+
+def test_quick_backtest_from_prices_of_zero(spark, tmp_path):
+    up, down = [1.0, 2.0, 3.0, 0.0, 5.0, 6.0, 0.0, 7.0, 0.0, 0.0, 4.0], [-4.0, -3.0, 2.0, 0.0, -5.0, None, 0.0, None, 1.0, 0.0]
+    got, want = of_values(spark, tmp_path, "quick_backtest", [up, down, [1.0, 1.0, 2.0, -0.0, 3.0], [-1.0, 1.0, 2.0, -0.0, 3.0, 0.0, -2.0]])
+    assert got == want
+    assert {r[2] for r in got} >= {"inf", "-inf", "nan", "None"}
+
+
+def test_quick_backtest_between_two_roundings(spark, tmp_path):
+    """Returns that are the middle between two results but for the last bit, and one that is too large to be multiplied."""
+    got, want = of_values(spark, tmp_path, "quick_backtest", [[22.45, 88.69, 34.47, 6.4, 60.03], [1.47, 17.16, 22.65, 51.2, 77.04], [1.0, 2.0, 3.0, 1e-300, 1e5]])
+    assert got == want
