@@ -85,12 +85,13 @@ def _horizons(horizon: int, extension: float) -> range:
 
 
 def _best(df: DataFrame, horizon: int, extension: float, x: str, rank) -> DataFrame:
-    """Label by the sign of the slope at the horizon that ranks first, the shortest of equals;
-    frames end with the series, and the last horizon - 1 rows stay 0."""
+    """Label by the sign of the slope at the horizon that ranks first, the shortest of equals, which are
+    ranks less than 1e-9 a row of horizon apart: equal slopes of different horizons differ by rounding errors.
+    Frames end with the series, and the last horizon - 1 rows stay 0."""
     s = Staged()
     row = F.col(SEQ).cast("double")
     left = F.count(F.lit(1)).over(s.order.rowsBetween(0, Window.unboundedFollowing))
-    fits = [F.struct(rank(s.A(h), row).alias("rank"), F.lit(-h).alias("h"), F.regr_slope(F.col(x), row).over(s.A(h)).alias("slope")) for h in _horizons(horizon, extension)]
+    fits = [F.struct((rank(s.A(h), row) * 1e6 - h * 1e-3).alias("rank"), F.lit(-h).alias("h"), F.regr_slope(F.col(x), row).over(s.A(h)).alias("slope")) for h in _horizons(horizon, extension)]
     fit = s.put(0, "_fit", F.array_max(F.array(*fits)))
     many = s.put(0, "_left", left)
     return s.apply(_values(df, x), F.when(F.col(many) < horizon, 0).when(F.col(f"{fit}.rank").isNull(), 0).when(F.col(f"{fit}.slope") > 0, 1).otherwise(-1).alias("label"))

@@ -74,3 +74,11 @@ def test_quick_backtest_between_two_roundings(spark, tmp_path):
     """Returns that are the middle between two results but for the last bit, and one that is too large to be multiplied."""
     got, want = of_values(spark, tmp_path, "quick_backtest", [[22.45, 88.69, 34.47, 6.4, 60.03], [1.47, 17.16, 22.65, 51.2, 77.04], [1.0, 2.0, 3.0, 1e-300, 1e5]])
     assert got == want
+
+
+def test_label_slope_of_equal_slopes(spark, tmp_path):
+    """Slopes of 5 and 6 rows, or of 5 and 7, that are as steep but of opposite sign: the shorter horizon's counts."""
+    tied = [[2.49, 111.08, 52.8, 22.98, 19.93, 47.89, 11.11, 18.7, 43.24, 19.68, 122.24, 4.11, 37.84, 31.88, 12.86], [31.06, 8.71, 65.71, 58.55, 15.08, 13.3, 11.96, 65.36, 27.12, 23.37, 33.84, 12.62, 50.51, 39.26, 9.9]]
+    steep = [[round(v * k, 6) for v in values] for values in tied for k in (1, -1, 3, -7, 11, 1000, 0.01)]
+    got, want = of_values(spark, tmp_path, "label_slope", steep)
+    assert got == want
