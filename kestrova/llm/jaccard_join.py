@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ._common import components, join_groups, lean, release, scratch, tidy, written
 from .textvec import hashes, mix, pieces, shingles, words
 
-#: Bins of the least sketch, and of what is looked at first.
-_BINS, _COARSE = 256, 32
+#: Bits of the least sketch, which is also what is looked at first.
+_BITS = 2048
 
 
 class Sets(NamedTuple):
@@ -158,26 +158,33 @@ def _stars(keys, probes):
 
 
 def sketches(sets: Sets) -> list[bytes]:
-    """For each set its tokens counted by the first bits of their hashes, up to 255, in
-    256 bins or four times as many again and again, until a bin has eight tokens at most on average."""
-    bins = np.full(len(sets.size), _BINS, dtype=np.int64)
-    while (small := bins * 8 < sets.size).any():
-        bins[small] *= 4
-    first = np.cumsum(bins) - bins
-    shift = (64 - np.rint(np.log2(bins))).astype(np.uint64)
-    place = first[sets.text] + (mix(sets.tokens) >> shift[sets.text]).astype(np.int64)
-    flat = np.minimum(np.bincount(place, minlength=int(bins.sum())), 255).astype(np.uint8).tobytes()
-    return [flat[a : a + n] for a, n in zip(first.tolist(), bins.tolist())]
+    """For each set a bit for each bin of its tokens' hashes: whether it holds an odd number of them. There are
+    2048 bins or four times as many again and again, until a bin has one token at most on average."""
+    bits = np.full(len(sets.size), _BITS, dtype=np.int64)
+    while (small := bits < sets.size).any():
+        bits[small] *= 4
+    first = np.cumsum(bits) - bits
+    place = first[sets.text] + (mix(sets.tokens) & (bits - 1).astype(np.uint64)[sets.text]).astype(np.int64)
+    flat = np.zeros(int(bits.sum()) // 8, dtype=np.uint8)
+    np.bitwise_xor.at(flat, place >> 3, np.left_shift(1, place & 7).astype(np.uint8))
+    flat = flat.tobytes()
+    return [flat[a : a + n] for a, n in zip((first // 8).tolist(), (bits // 8).tolist())]
 
 
-def _matrix(made: list[bytes], bins: int) -> np.ndarray:
-    """Sketches of one length as rows of ``bins`` counts: neighbouring bins are added up."""
-    x = np.frombuffer(b"".join(made), dtype=np.uint8).reshape(len(made), bins, -1)
-    return x[:, :, 0].astype(np.int16) if x.shape[2] == 1 else x.sum(2, dtype=np.int32)
+def _matrix(made: list[bytes], bits: int) -> np.ndarray:
+    """Sketches of one length as rows of ``bits`` bits, 64 a number: bins whose last hash bits are equal become one."""
+    x = np.frombuffer(b"".join(made), dtype=np.uint64).reshape(len(made), -1, bits // 64)
+    return x[:, 0] if x.shape[1] == 1 else np.bitwise_xor.reduce(x, axis=1)
+
+
+def _odd(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each two rows of bits in how many they differ."""
+    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
 
 
 def _differ(a: list[bytes], b: list[bytes], at_once: int = 1 << 21) -> np.ndarray:
-    """The sum of the differences of each two sketches' counts, at the coarser one's bins: not more than what the sets differ by."""
+    """In how many bins each two sketches differ, at the coarser one's bins: not more than what the sets differ by, as
+    such a bin has a token that only one of them holds."""
     out = np.zeros(len(a), dtype=np.int64)
     sizes = np.array([[len(x) for x in a], [len(x) for x in b]], dtype=np.int64).reshape(2, -1)
     for n, m in np.unique(sizes, axis=1).T.tolist():
@@ -185,8 +192,7 @@ def _differ(a: list[bytes], b: list[bytes], at_once: int = 1 << 21) -> np.ndarra
         step = max(1, at_once // max(n, m))
         for low in range(0, len(own), step):
             some = own[low : low + step].tolist()
-            x, y = _matrix([a[i] for i in some], min(n, m)), _matrix([b[i] for i in some], min(n, m))
-            out[some] = np.abs(x - y).sum(1)
+            out[some] = _odd(*(_matrix([of[i] for i in some], min(n, m) * 8) for of in (a, b)))
     return out
 
 
@@ -202,9 +208,9 @@ def linked(docs: DataFrame, words_each: int = 3, num: int = 90, den: int = 100,
     key. A key's sets are compared with its first set; then, where
     these verified links leave a key's sets in several components, all its pairs between
     two components are. So no link between components is lost, and a group of
-    near copies costs about one comparison a document. Counts of tokens in bins (``sketches``) differ by at
-    most the sets' difference, which rules out most other pairs before the sets
-    themselves are fetched. All comparisons are exact.
+    near copies costs about one comparison a document. Bins with an odd number of tokens (``sketches``) differ in at
+    most as many places as the sets in tokens, which rules out most other pairs, down to a similarity little
+    under the one asked for, before the sets themselves are fetched. All comparisons are exact.
 
     Null text has no words. Null ids are kept and sort last. Repeated rows are equal sets.
     No rows give no rows. Other columns are ignored, whatever their names.
@@ -321,7 +327,7 @@ def linked(docs: DataFrame, words_each: int = 3, num: int = 90, den: int = 100,
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) whose counts by bin don't differ by more than the sets may."""
+    """Those pairs (a, b) whose sketches don't differ by more than the sets may."""
 
     @F.arrow_udf("boolean")
     def may(a: pa.Array, b: pa.Array, both: pa.Array) -> pa.Array:
@@ -377,11 +383,11 @@ def _across(sides: DataFrame, parts: DataFrame, sets: DataFrame, num: int, den:
             key, number, past, sid, part, n, streams, sketch = rows
             if not len(key):
                 continue
-            coarse = np.empty((len(key), _COARSE), dtype=np.int32)
+            coarse = np.empty((len(key), _BITS // 64), dtype=np.uint64)
             sizes = np.array([len(x) for x in sketch])
             for size in np.unique(sizes).tolist():
                 own = np.flatnonzero(sizes == size)
-                coarse[own] = _matrix(sketch[own].tolist(), _COARSE)
+                coarse[own] = _matrix(sketch[own].tolist(), _BITS)
             new = np.ones(len(key), dtype=bool)
             new[1:] = (key[1:] != key[:-1]) | (number[1:] != number[:-1])
             group, first = np.cumsum(new) - 1, np.flatnonzero(new)
@@ -399,9 +405,11 @@ def _across(sides: DataFrame, parts: DataFrame, sets: DataFrame, num: int, den:
                 may &= ~streams[j] | likeliest | (sid[j] > sid[i])
                 i, j = i[may], j[may]
                 most = (n[i] + n[j]) * (den - num) // (den + num)
-                may = np.abs(coarse[i] - coarse[j]).sum(1) <= most
-                i, j, most = i[may], j[may], most[may]
-                differ = _differ(sketch[i].tolist(), sketch[j].tolist())
+                differ = _odd(coarse[i], coarse[j])
+                may = differ <= most
+                i, j, most, differ = i[may], j[may], most[may], differ[may]
+                fine = np.flatnonzero(np.minimum(sizes[i], sizes[j]) * 8 > _BITS)
+                differ[fine] = _differ(sketch[i[fine]].tolist(), sketch[j[fine]].tolist())
                 may = differ <= most
                 i, j, differ = i[may], j[may], differ[may]
                 if likeliest:

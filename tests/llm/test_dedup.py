@@ -12,7 +12,7 @@ from kestrova.llm import exact_dedup as xd
 from kestrova.llm._common import components as smallest
 from kestrova.llm.embedding_dedup import cells, decode, embedding_links, roots
 from kestrova.llm.exact_dedup import exact_dedup
-from kestrova.llm.jaccard_join import bands, linked, shingle_sets, signatures
+from kestrova.llm.jaccard_join import _differ, bands, linked, shingle_sets, signatures, sketches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -130,6 +130,22 @@ def test_similar_sets_share_a_probed_key():
                         assert held[a][1] & held[b][0] or held[b][1] & held[a][0]
 
 
+def test_sketches_rule_out_unlike_sets_only():
+    """Sets of one family that are less alike than asked must not pass as candidates, or these grow with the family's square."""
+    rng = random.Random(5)
+    for length, edits in ((60, 6), (400, 40), (1800, 160), (9000, 700)):
+        s = shingle_sets(pa.array(near_copies(rng, 1, 24, length, edits) + near_copies(rng, 1, 4, length // 4, 3)), 5)
+        token, made = [set(s.tokens[s.text == k].tolist()) for k in range(len(s.size))], sketches(s)
+        pairs = [(a, b) for a in range(len(token)) for b in range(a)]
+        apart = [len(token[a] ^ token[b]) for a, b in pairs]
+        differ = _differ([made[a] for a, _ in pairs], [made[b] for _, b in pairs]).tolist()
+        assert all(d <= n for d, n in zip(differ, apart))
+        like = [len(token[a] & token[b]) / len(token[a] | token[b]) for a, b in pairs]
+        passed = [x for (a, b), d, x in zip(pairs, differ, like) if d <= (len(token[a]) + len(token[b])) * 20 // 180]
+        assert sum(x >= 0.8 for x in passed) == sum(x >= 0.8 for x in like)
+        assert all(x > 0.73 for x in passed) and sum(x < 0.73 for x in like) > 100
+
+
 @pytest.mark.parametrize("most", [0, 1 << 20])
 def test_components(spark, most):
     rng = random.Random(8)
