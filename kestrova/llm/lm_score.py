@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -75,17 +76,18 @@ def _numbers(texts: pa.Array, net: Network) -> tuple[np.ndarray, np.ndarray, np.
     return ids, w.text, around, h
 
 
-def _around(net: Network, around: np.ndarray) -> list[np.ndarray]:
-    """The vectors of the words around, place by place."""
-    return [net.embed.take(places, axis=0, mode="clip") for places in np.ascontiguousarray(around.T)]
+def _around(net: Network, around: np.ndarray) -> np.ndarray:
+    """The vectors of the words around, place after place in one row."""
+    return net.embed.take(around, axis=0, mode="clip").reshape(len(around), -1)
 
 
-def _hidden(net: Network, vectors: list[np.ndarray]) -> np.ndarray:
-    h = vectors[0] @ net.mix[0]
-    for vector, mix in zip(vectors[1:], net.mix[1:]):
-        h += vector @ mix
-    h += net.base
-    return np.tanh(h, out=h)
+def _hidden(net: Network, vectors: np.ndarray) -> np.ndarray:
+    """The hidden values, with a last column of ones that stands for the biases."""
+    h = np.ones((len(vectors), len(net.base) + 1), vectors.dtype)
+    x = vectors @ net.mix.reshape(-1, len(net.base))
+    x += net.base
+    np.tanh(x, out=h[:, :-1])
+    return h
 
 
 def _order(numbers: np.ndarray, most: int) -> np.ndarray:
@@ -93,44 +95,44 @@ def _order(numbers: np.ndarray, most: int) -> np.ndarray:
     return np.argsort(numbers.astype(np.uint16 if most < 1 << 16 else np.int64), kind="stable")
 
 
-def _values(h: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Of each row of ``h`` the values of the choices, whose exp neither overflows nor vanishes: values beyond 40
-    are taken less the row's largest, which a softmax doesn't see."""
-    x = h @ weight
-    x += bias
-    if x.size and not (x.max() < 40 and x.min() > -40):
-        x -= x.max(1, keepdims=True)
-    return x
-
-
 def _parts(n: int) -> list[slice]:
     """Rows at once whose values fit a core's cache."""
-    return [slice(low, low + _ROWS) for low in range(0, n, _ROWS)]
+    return [slice(low, min(low + _ROWS, n)) for low in range(0, n, _ROWS)]
 
 
-def _log_share(h: np.ndarray, weight: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log of the softmax of each row's values at one choice."""
-    out, ones = np.empty(len(h), h.dtype), np.ones(weight.shape[1], h.dtype)
-    for part in _parts(len(h)):
-        x = _values(h[part], weight, bias)
-        own = x[np.arange(len(x)), at[part]]
-        np.exp(x, out=x)
-        out[part] = own - np.log(x @ ones)
-    return out
+def _choices(net: Network) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of classes and of each class's words, the biases as their last row."""
+    return np.concatenate([net.to_class, net.class_bias[None]]), np.concatenate([net.to_word, net.word_bias[:, None]], axis=1)
+
+
+def _runs(group: np.ndarray) -> list[tuple[int, slice]]:
+    """The classes in sorted ``group`` and the rows of each."""
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+    return [(c, slice(low, high)) for c, low, high in zip(group[first].tolist(), first.tolist(), [*first[1:].tolist(), len(group)])]
 
 
-def _pull(h: np.ndarray, weight: np.ndarray, bias: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The slopes by weight, bias and ``h`` of minus the log of the softmax at each row's choice, over ``n``."""
-    by_weight, by_bias, back, ones = np.zeros_like(weight), np.zeros_like(bias), np.empty_like(h), np.ones(weight.shape[1], h.dtype)
-    for part in _parts(len(h)):
-        x = _values(h[part], weight, bias)
+def _word_values(h: np.ndarray, weight: np.ndarray, runs: list[tuple[int, slice]]) -> np.ndarray:
+    x = np.empty((len(h), weight.shape[2]), h.dtype)
+    for c, rows in runs:
+        np.matmul(h[rows], weight[c], out=x[rows])
+    return x
+
+
+def _exp(values: Callable[[], np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exp of the values, each row's sum of them, each row's own value at its choice). Where a sum shows that
+    an exp overflows or vanishes, all values are taken less their row's largest, which a softmax doesn't see."""
+    x = values()
+    own, ones = x[np.arange(len(x)), at], np.ones(x.shape[1], x.dtype)
+    with np.errstate(over="ignore", invalid="ignore"):
         np.exp(x, out=x)
-        x *= (1 / (x @ ones * n))[:, None].astype(x.dtype)
-        x[np.arange(len(x)), at[part]] -= 1 / n
-        by_weight += h[part].T @ x
-        by_bias += x.sum(0)
-        back[part] = x @ weight.T
-    return by_weight, by_bias, back
+        total = x @ ones
+    if not (total.min() > 1e-18 and total.max() < 1e18):
+        x = values()
+        x -= x.max(1, keepdims=True)
+        own = x[np.arange(len(x)), at]
+        np.exp(x, out=x)
+        total = x @ ones
+    return x, total, own
 
 
 def log_probabilities(net: Network, ids: np.ndarray, around: np.ndarray, at_once: int = 1 << 13) -> np.ndarray:
@@ -139,45 +141,82 @@ def log_probabilities(net: Network, ids: np.ndarray, around: np.ndarray, at_once
     out = np.empty(len(ids), dtype=np.float64)
     classes, each = net.to_word.shape[0], net.to_word.shape[2]
     rare = np.broadcast_to(net.rare, each)
+    to_class, to_word = _choices(net)
     for low in range(0, len(ids), at_once):
         # by class, so that a class's rows lie together
         order = low + _order(ids[low : low + at_once] // each, classes)
         own, h = ids[order], _hidden(net, _around(net, around.take(order, axis=0)))
-        group, word = own // each, own % each
-        value = _log_share(h, net.to_class, net.class_bias, group)
-        ends = np.searchsorted(group, np.arange(classes + 1))
-        for c in np.unique(group).tolist():
-            rows = slice(ends[c], ends[c + 1])
-            value[rows] += _log_share(h[rows], net.to_word[c], net.word_bias[c], word[rows])
+        group, word = np.divmod(own, each)
+        value = np.empty(len(own), h.dtype)
+        for part in _parts(len(own)):
+            some, runs = h[part], _runs(group[part])
+            _, total, at = _exp(lambda: some @ to_class, group[part])
+            _, also, more = _exp(lambda: _word_values(some, to_word, runs), word[part])
+            value[part] = at - np.log(total) + more - np.log(also)
         out[order] = value - rare[word] * (own >= (classes - 1) * each)
     return out
 
 
+def _pull(h: np.ndarray, group: np.ndarray, word: np.ndarray, choices: tuple, turned: tuple, slopes: tuple) -> np.ndarray:
+    """Adds the slopes by the weights of classes and words (as ``_choices`` has them) of minus the sum of the rows' log-probabilities
+    to ``slopes``; the result is that by ``h`` without its ones. Rows lie by class; ``turned`` are the weights without biases, transposed."""
+    runs, at = _runs(group), np.arange(len(h))
+    # exps less their sum at the choice are the slopes times that sum: the narrow factors are divided by it
+    x, total, _ = _exp(lambda: h @ choices[0], group)
+    x[at, group] -= total
+    share = (1 / total)[:, None]
+    slopes[0][...] += (h * share).T @ x
+    back = x @ turned[0]
+    back *= share
+    x, total, _ = _exp(lambda: _word_values(h, choices[1], runs), word)
+    x[at, word] -= total
+    share = (1 / total)[:, None]
+    h, more = h * share, np.empty_like(back)
+    for c, rows in runs:
+        slopes[1][c] += h[rows].T @ x[rows]
+        np.matmul(x[rows], turned[1][c], out=more[rows])
+    more *= share
+    back += more
+    return back
+
+
+def _by_word(places: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers among ``places``, the sum of each one's columns of ``values``, a row each)."""
+    met = np.zeros(size, dtype=bool)
+    met[places] = True
+    at = np.flatnonzero(met)
+    short = np.empty(size, dtype=np.int64)
+    short[at] = np.arange(len(at))
+    places = short[places]
+    out = np.empty((len(at), len(values)), values.dtype)
+    for k, row in enumerate(values):
+        out[:, k] = np.bincount(places, row, len(at))
+    return at, out
+
+
 def _learn(net: Network, ids: np.ndarray, around: np.ndarray, memory: dict[str, np.ndarray], rate: float) -> Network:
     """One step by the gradient of the mean log-probability, scaled by past gradients (Adagrad)."""
-    n, classes, each = len(ids), net.to_word.shape[0], net.to_word.shape[2]
+    n, classes, each, width = max(len(ids), 1), net.to_word.shape[0], net.to_word.shape[2], len(net.base)
     order = _order(ids // each, classes)
     ids, around = ids[order], around.take(order, axis=0)  # by class, so that a class's rows lie together
-    vectors = _around(net, around)
-    h = _hidden(net, vectors)
-    group, word = ids // each, ids % each
-    slope = {k: np.zeros_like(getattr(net, k)) for k in _WEIGHTS if k != "embed"}
-    slope["to_class"], slope["class_bias"], back = _pull(h, net.to_class, net.class_bias, group, n)
-    ends = np.searchsorted(group, np.arange(classes + 1))
-    for c in np.unique(group).tolist():
-        rows = slice(ends[c], ends[c + 1])
-        slope["to_word"][c], slope["word_bias"][c], more = _pull(h[rows], net.to_word[c], net.word_bias[c], word[rows], n)
-        back[rows] += more
-    back *= 1 - h * h
-    slope["base"] = back.sum(0)
-    for k in range(2 * _WINDOW):
-        slope["mix"][k] = vectors[k].T @ back
-    places = around.T.ravel()
-    order = _order(places, len(net.embed))
-    places = places[order]
-    first = np.flatnonzero(np.append(True, places[1:] != places[:-1])) if n else np.zeros(0, np.int64)
-    at = places[first]
-    own = np.add.reduceat(np.concatenate([back @ net.mix[k].T for k in range(2 * _WINDOW)]).take(order, axis=0), first)
+    group, word = np.divmod(ids, each)
+    choices = _choices(net)
+    turned = np.ascontiguousarray(net.to_class.T), np.ascontiguousarray(net.to_word.transpose(0, 2, 1))
+    by_class, by_word = slopes = tuple(np.zeros_like(x) for x in choices)
+    base, mix = np.zeros_like(net.base), np.zeros((2 * _WINDOW * width, width), net.mix.dtype)
+    # a row for each place of a vector, within it a place around a word
+    spread, by_place = net.mix.transpose(1, 0, 2).reshape(-1, width), np.empty((2 * _WINDOW * width, len(ids)), net.embed.dtype)
+    for part in _parts(len(ids)):
+        vectors = _around(net, around[part])
+        h = _hidden(net, vectors)
+        back = _pull(h, group[part], word[part], choices, turned, slopes)
+        back *= (1 - h[:, :-1] * h[:, :-1]) / n
+        base += back.sum(0)
+        mix += vectors.T @ back
+        np.matmul(spread, back.T, out=by_place[:, part])
+    slope = {"to_class": by_class[:-1] / n, "class_bias": by_class[-1] / n, "to_word": by_word[:, :-1] / n, "word_bias": by_word[:, -1] / n}
+    slope |= {"base": base, "mix": mix.reshape(net.mix.shape)}
+    at, own = _by_word(around.T.ravel(), by_place.reshape(width, -1), len(net.embed))
     own[at == len(net.embed) - 1] = 0
     new = {}
     for k, g in slope.items():

@@ -262,3 +262,62 @@ def test_scores_by_a_plain_loop(spark):
             c, k = divmod(number[i], net.to_word.shape[2])
             total += math.log(softmax(h @ net.to_class + net.class_bias)[c]) + math.log(softmax(h @ net.to_word[c] + net.word_bias[c])[k])
         assert r.log_likelihood == pytest.approx(total, abs=1e-3) and r.n_tokens == len(w)
+
+
+class Counted(np.ndarray):
+    """Counts the values that pass through ufuncs but matrix products."""
+
+    seen = 0
+
+    def __array_ufunc__(self, ufunc, method, *inputs, out=(), **k):
+        plain = lambda xs: tuple(np.asarray(x) if isinstance(x, Counted) else x for x in xs)
+        got = getattr(ufunc, method)(*plain(inputs), **({"out": plain(out)} if out else {}), **k)
+        if ufunc is not np.matmul:
+            Counted.seen += max(np.size(x) for x in (*inputs, got))
+        return out[0] if out else np.asarray(got).view(Counted)
+
+
+class CountingNumpy:
+    """numpy, whose new arrays are counted."""
+
+    def __getattr__(self, name):
+        made = getattr(np, name)
+        return (lambda *a, **k: made(*a, **k).view(Counted)) if name in {"empty", "ones", "zeros", "empty_like", "zeros_like", "concatenate"} else made
+
+
+def _random_network(rng, width=16, scale=0.3):
+    shapes = ((lm_score._SIZE + 1, width), (4, width, width), (width,), (width, 64), (64,), (64, width, 64), (64, 64))
+    return lm_score.Network(np.zeros(0, np.uint64), np.zeros(0, np.int64), *((rng.normal(size=s) * scale).astype(np.float32) for s in shapes))
+
+
+def test_a_step_passes_each_value_once(monkeypatch):
+    """Of each word 128 values of softmaxes: an exp of each, and little beside; the weights' own update is counted with it."""
+    monkeypatch.setattr(lm_score, "np", CountingNumpy())
+    rng = np.random.default_rng(8)
+    net = _random_network(rng)
+    ids, around = rng.integers(0, lm_score._SIZE, 8192), rng.integers(0, lm_score._SIZE, (8192, 4))
+    counted = net._replace(**{k: getattr(net, k).view(Counted) for k in lm_score._WEIGHTS})
+    Counted.seen = 0
+    lm_score._learn(counted, ids, around, {}, 0.1)
+    assert 128 < Counted.seen / len(ids) < 600
+    Counted.seen = 0
+    lm_score.log_probabilities(counted, ids, around)
+    assert 128 < Counted.seen / len(ids) < 200
+
+
+def test_softmaxes_beyond_the_range_of_exp():
+    rng = np.random.default_rng(9)
+    net, ids, around = _random_network(rng), rng.integers(0, 4096, 3000), rng.integers(0, 4096, (3000, 4))
+    for shift, scale in ((0, 60), (300, 1), (-300, 1)):
+        far = net._replace(to_class=net.to_class * scale, class_bias=net.class_bias + np.float32(shift), to_word=net.to_word * scale, word_bias=net.word_bias + np.float32(shift))
+        wide = far._replace(**{k: getattr(far, k).astype(np.float64) for k in lm_score._WEIGHTS})
+        h = np.tanh(sum(wide.embed[around[:, k]] @ wide.mix[k] for k in range(4)) + wide.base)
+        share = lambda x, at: x[np.arange(len(x)), at] - x.max(1) - np.log(np.exp(x - x.max(1, keepdims=True)).sum(1))
+        want = share(h @ wide.to_class + wide.class_bias, ids // 64) + share(np.einsum("ri,rij->rj", h, wide.to_word[ids // 64]) + wide.word_bias[ids // 64], ids % 64)
+        assert np.allclose(lm_score.log_probabilities(far, ids, around), want, rtol=1e-4, atol=2e-3)
+        memory, exact = {}, {}
+        step = lm_score._learn(far, ids, around, memory, 0.1)
+        lm_score._learn(wide, ids, around, exact, 0.1)
+        for k in lm_score._WEIGHTS:
+            assert np.isfinite(getattr(step, k)).all()
+            assert np.allclose(np.sqrt(memory[k]), np.sqrt(exact[k]), rtol=1e-2, atol=1e-3 * np.sqrt(exact[k]).max() + 1e-5), k
