@@ -22,6 +22,7 @@ _SIZE = _CLASSES * _EACH
 _KNOWN = _SIZE - _EACH
 _WINDOW = 2
 _ROWS = 1024
+_BYTES = 1 << 17
 #: Counts of the commonest words out of the vocabulary that are broadcast; others are joined.
 _HEAD = 1 << 18
 
@@ -57,23 +58,55 @@ def side_of(distinct: int) -> int:
     return max(_CLASSES, math.ceil(math.sqrt(4 * math.sqrt(distinct))))
 
 
-def _numbers(texts: pa.Array, net: Network) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class _Places:
+    """Finds hashes among sorted distinct ones: their first bits name the place where the search starts."""
+
+    def __init__(self, terms: np.ndarray):
+        self.size = len(terms)
+        bits = max(self.size, 1).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.start = np.zeros(1 << bits, dtype=np.int64)
+        np.cumsum(np.bincount((terms >> self.shift).astype(np.int64), minlength=1 << bits)[:-1], out=self.start[1:])
+        self.terms = np.append(terms, np.uint64(2**64 - 1))  # every search ends
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the place of each hash, whether it is there)."""
+        place = self.start[(h >> self.shift).astype(np.int64)]
+        found = self.terms[place]
+        on = np.flatnonzero(found < h)
+        while len(on):
+            place[on] += 1
+            found[on] = self.terms[place[on]]
+            on = on[found[on] < h[on]]
+        return place, (found == h) & (place < self.size)
+
+
+def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of each word, by slices that fit a core's cache."""
+    h, text, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for some in pieces(texts, _BYTES):
+        w = words(some)
+        h.append(hashes(w))
+        text.append(w.text + at)
+        at += len(some)
+    return np.concatenate(h), np.concatenate(text)
+
+
+def _numbers(texts: pa.Array, net: Network, known: _Places) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word numbers, text of each, numbers around each, word hashes): the places before the first
-    word of a text and after its last hold the number after all words'."""
+    word of a text and after its last hold the number after all words'. ``known`` are the network's terms."""
     each, size = net.to_word.shape[2], len(net.embed) - 1
-    w = words(texts)
-    h = hashes(w)
+    h, text = _hashed(texts)
     ids = size - each + (h >> np.uint64(40)).astype(np.int64) % each
-    if len(net.terms):
-        at = np.minimum(np.searchsorted(net.terms, h), len(net.terms) - 1)
-        ids = np.where(net.terms[at] == h, net.number[at], ids)
+    at, there = known.find(h)
+    ids[there] = net.number[at[there]]
     around = np.full((len(ids), 2 * _WINDOW), size, dtype=np.int64)
     for k in range(1, _WINDOW + 1):
         if len(ids) > k:
-            same = w.text[k:] == w.text[:-k]
+            same = text[k:] == text[:-k]
             around[k:, _WINDOW - k] = np.where(same, ids[:-k], size)
             around[:-k, _WINDOW + k - 1] = np.where(same, ids[k:], size)
-    return ids, w.text, around, h
+    return ids, text, around, h
 
 
 def _around(net: Network, around: np.ndarray) -> np.ndarray:
@@ -157,20 +190,20 @@ def log_probabilities(net: Network, ids: np.ndarray, around: np.ndarray, at_once
     return out
 
 
-def _pull(h: np.ndarray, group: np.ndarray, word: np.ndarray, choices: tuple, turned: tuple, slopes: tuple) -> np.ndarray:
-    """Adds the slopes by the weights of classes and words (as ``_choices`` has them) of minus the sum of the rows' log-probabilities
-    to ``slopes``; the result is that by ``h`` without its ones. Rows lie by class; ``turned`` are the weights without biases, transposed."""
+def _pull(h: np.ndarray, group: np.ndarray, word: np.ndarray, choices: tuple, turned: tuple, slopes: tuple, n: int) -> np.ndarray:
+    """Adds the slopes by the weights of classes and words (as ``_choices`` has them) of minus the sum of the rows' log-probabilities, over
+    ``n``, to ``slopes``; the result is that by ``h`` without its ones. Rows lie by class; ``turned`` are the weights without biases, transposed."""
     runs, at = _runs(group), np.arange(len(h))
     # exps less their sum at the choice are the slopes times that sum: the narrow factors are divided by it
     x, total, _ = _exp(lambda: h @ choices[0], group)
     x[at, group] -= total
-    share = (1 / total)[:, None]
+    share = (1 / (total * n))[:, None]
     slopes[0][...] += (h * share).T @ x
     back = x @ turned[0]
     back *= share
     x, total, _ = _exp(lambda: _word_values(h, choices[1], runs), word)
     x[at, word] -= total
-    share = (1 / total)[:, None]
+    share = (1 / (total * n))[:, None]
     h, more = h * share, np.empty_like(back)
     for c, rows in runs:
         slopes[1][c] += h[rows].T @ x[rows]
@@ -209,13 +242,12 @@ def _learn(net: Network, ids: np.ndarray, around: np.ndarray, memory: dict[str,
     for part in _parts(len(ids)):
         vectors = _around(net, around[part])
         h = _hidden(net, vectors)
-        back = _pull(h, group[part], word[part], choices, turned, slopes)
-        back *= (1 - h[:, :-1] * h[:, :-1]) / n
-        base += back.sum(0)
+        back = _pull(h, group[part], word[part], choices, turned, slopes, n)
+        back *= (1 - h * h)[:, :-1]
+        base += np.ones(len(back), back.dtype) @ back
         mix += vectors.T @ back
         np.matmul(spread, back.T, out=by_place[:, part])
-    slope = {"to_class": by_class[:-1] / n, "class_bias": by_class[-1] / n, "to_word": by_word[:, :-1] / n, "word_bias": by_word[:, -1] / n}
-    slope |= {"base": base, "mix": mix.reshape(net.mix.shape)}
+    slope = {"to_class": by_class[:-1], "class_bias": by_class[-1], "to_word": by_word[:, :-1], "word_bias": by_word[:, -1], "base": base, "mix": mix.reshape(net.mix.shape)}
     at, own = _by_word(around.T.ravel(), by_place.reshape(width, -1), len(net.embed))
     own[at == len(net.embed) - 1] = 0
     new = {}
@@ -225,9 +257,10 @@ def _learn(net: Network, ids: np.ndarray, around: np.ndarray, memory: dict[str,
     # only the words met here have a slope
     if "embed" not in memory:
         memory["embed"] = np.full_like(net.embed, 1e-8)
-    memory["embed"][at] += own * own
+    squares = memory["embed"][at] + own * own
+    memory["embed"][at] = squares
     new["embed"] = net.embed.copy()
-    new["embed"][at] -= rate * own / np.sqrt(memory["embed"][at])
+    new["embed"][at] -= rate * own / np.sqrt(squares)
     return net._replace(**new)
 
 
@@ -242,7 +275,7 @@ def train_network(docs: DataFrame, text_col: str = "text", share: float = 0.5, r
     def count(batches):
         for part in batches:
             for texts in pieces(part.column(0), 1 << 23):
-                h, n = np.unique(hashes(words(texts)), return_counts=True)
+                h, n = np.unique(_hashed(texts)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
 
     often = written(source.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "words")
@@ -287,9 +320,10 @@ def train_network(docs: DataFrame, text_col: str = "text", share: float = 0.5, r
 
         def train(batches):
             net, memory, seen = shared.value, {}, 0
+            known = _Places(net.terms)
             for part in batches:
                 for texts in pieces(part.column(0), 1 << 20):
-                    ids, _, around, _ = _numbers(texts, net)
+                    ids, _, around, _ = _numbers(texts, net, known)
                     mixed = np.random.default_rng(seed).permutation(len(ids))
                     for low in range(0, len(ids), batch):
                         own = mixed[low : low + batch]
@@ -344,21 +378,19 @@ def pseudo_likelihood(docs: DataFrame, net: Network, id_col: str = "doc_id", tex
 
     def run(batches):
         net = shared.value
-        known = len(net.embed) - 1 - net.to_word.shape[2]
+        least, known, head = len(net.embed) - 1 - net.to_word.shape[2], _Places(net.terms), _Places(net.head)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             at = 0
             for texts in pieces(batch.column(1), 1 << 21):
                 own = batch.column(0).slice(at, len(texts))
                 at += len(texts)
-                ids, text, around, h = _numbers(texts, net)
+                ids, text, around, h = _numbers(texts, net, known)
                 value = log_probabilities(net, ids, around)
-                other = np.flatnonzero(ids >= known)
-                if len(net.head) and len(other):
-                    place = np.minimum(np.searchsorted(net.head, h[other]), len(net.head) - 1)
-                    found = net.head[place] == h[other]
-                    value[other[found]] += net.often[place[found]]
-                    other = other[~found]
+                other = np.flatnonzero(ids >= least)
+                place, found = head.find(h[other])
+                value[other[found]] += net.often[place[found]]
+                other = other[~found]
                 total = np.bincount(text, value, len(texts)).astype(np.float64)
                 n = np.bincount(text, minlength=len(texts)).astype(np.int64)
                 ends = np.searchsorted(text[other], np.arange(len(texts) + 1)).astype(np.int32)

@@ -321,3 +321,16 @@ def test_softmaxes_beyond_the_range_of_exp():
         for k in lm_score._WEIGHTS:
             assert np.isfinite(getattr(step, k)).all()
             assert np.allclose(np.sqrt(memory[k]), np.sqrt(exact[k]), rtol=1e-2, atol=1e-3 * np.sqrt(exact[k]).max() + 1e-5), k
+
+
+def test_places_are_those_of_a_search():
+    rng = np.random.default_rng(10)
+    near = np.uint64(7 << 40) + rng.integers(0, 300, 200, dtype=np.uint64)  # all begin alike
+    for terms in (np.zeros(0, np.uint64), np.unique(np.append(near, rng.integers(0, 1 << 64, 3000, dtype=np.uint64))), np.array([0, 2**64 - 1], np.uint64)):
+        asked = np.concatenate([terms, near, rng.integers(0, 1 << 64, 3000, dtype=np.uint64), np.array([0, 1, 2**64 - 2, 2**64 - 1], np.uint64)])
+        place, there = lm_score._Places(terms).find(asked)
+        assert (place == np.searchsorted(terms, asked)).all() and (there == np.isin(asked, terms)).all()
+    texts = pa.array(["b a", None, "", "c " * 200_000, "d  e"]).slice(1)
+    h, text = lm_score._hashed(texts)
+    w = words(texts)
+    assert (h == hashes(w)).all() and (text == w.text).all() and len(lm_score._hashed(texts.slice(0, 0))[0]) == 0
