@@ -67,6 +67,16 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame, each: int = 4, again: bool = False) -> DataFrame:
+    """``df`` in at most ``each`` partitions a core, or in ``each`` for 32 of a shuffle's if that is more. A table of a few
+    rows in each of many partitions is as many files, and in a local folder Hadoop starts three processes (chmod) to
+    make one, each of which shares the executor's whole memory until it runs. One task does the work of several partitions,
+    unless the rows are shuffled ``again``."""
+    spark = df.sparkSession
+    most = each * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 32)
+    return df.repartition(most) if again else df.coalesce(most)
+
+
 def small(df: DataFrame, most: int = 1 << 20) -> DataFrame:
     """``df`` written, and marked for broadcast if it has at most ``most`` rows;
     beyond, joins with it shuffle."""

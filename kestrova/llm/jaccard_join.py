@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, join_groups, lean, release, scratch, tidy, written
+from ._common import components, gathered, join_groups, lean, release, scratch, tidy, written
 from .textvec import hashes, mix, pieces, shingles, words
 
 #: Bits of the least sketch, which is also what is looked at first.
@@ -233,7 +233,7 @@ def linked(docs: DataFrame, words_each: int = 3, num: int = 90, den: int = 100,
 
     rows = written(source.mapInArrow(tidy(describe), f"id {kind}, n long, sid long, other long, sketch binary"), "sets")
     sets = rows.filter("n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("other").alias("low"), F.max("other").alias("high"))
-    sets = written(sets, "distinct")
+    sets = written(gathered(sets, 16), "distinct")
     if not sets.filter("low <> high").isEmpty():  # two sets have one hash: hash otherwise
         return linked(docs, words_each, num, den, id_col, text_col, seed + 1)
     b = bands({r.n: r["count"] for r in sets.groupBy("n").count().collect()}, num, den)
@@ -284,29 +284,29 @@ def linked(docs: DataFrame, words_each: int = 3, num: int = 90, den: int = 100,
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["key", "a", "b", "probes"])
 
     # a probes; so does b, or not
-    met = written(dealt.mapInArrow(meet, "key long, a long, b long, probes boolean"), "met")
+    met = written(gathered(dealt, 16).mapInArrow(meet, "key long, a long, b long, probes boolean"), "met")
     pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"))
-    pairs = written(_possible(pairs, sets, num, den), "pairs")
+    pairs = written(gathered(_possible(pairs, sets, num, den), 1, again=True), "pairs")
 
     def verified(asked: DataFrame) -> DataFrame:
         with scratch() as made:
             found = _verified(asked, sets, source, words_each, num, den, seed)
-        found = written(found, "links")
+        found = written(gathered(found, 1, again=True), "links")
         release(made)
         return found
 
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
     links = verified(best)
     parts = components(links)
-    rest = written(_between(pairs.join(best, ["a", "b"], "left_anti"), parts), "rest")
+    rest = written(gathered(_between(pairs.join(best, ["a", "b"], "left_anti"), parts), 1), "rest")
     if not rest.isEmpty():
         links = links.unionByName(verified(rest))
         parts = components(links)
     # the likeliest partner of each set that streams, then all of those that have several
-    sides = written(_sides(met), "sides")
+    sides = written(gathered(_sides(met)), "sides")
     again = None
     while True:
-        found = written(_across(sides, parts, sets, num, den, again), "across")
+        found = written(gathered(_across(sides, parts, sets, num, den, again), 1, again=True), "across")
         asked = found.select("a", "b").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
         more = verified(asked.join(links.select("a", "b"), ["a", "b"], "left_anti"))
         if not more.isEmpty():
@@ -314,16 +314,16 @@ def linked(docs: DataFrame, words_each: int = 3, num: int = 90, den: int = 100,
             parts = components(links)
         if again is not None:
             break
-        again = written(found.filter("more").select("key", F.col("asker").alias("sid")).distinct(), "again")
+        again = written(gathered(found.filter("more").select("key", F.col("asker").alias("sid")).distinct(), 1), "again")
         if again.isEmpty():
             break
     named = sets.select("sid", "rep", "copies").join(parts.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = parts.join(sets.select(F.col("sid").alias("id"), "rep"), "id").groupBy("component").agg(F.min("rep").alias("least"))
     named = named.join(least, "component", "left").select("sid", "copies", F.coalesce("least", "rep").alias("component_id"))
     full = rows.filter("n > 0").select("id", "n", "sid")
-    out = join_groups(full, written(named, "named"), ["sid"], "copies", rows.count())
+    out = join_groups(full, written(gathered(named), "named"), ["sid"], "copies", rows.count())
     out = out.select("id", "n", "component_id").unionByName(rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return gathered(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"))
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -433,7 +433,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, source: DataFrame, words_each:
     """Those pairs (a, b) with den * intersection >= num * union. The sets are made
     again from the texts of one document each; the sets of b stream past that of a,
     with a salt where an a has many b."""
-    pairs = written(pairs.select("a", "b"), "check")
+    pairs = written(gathered(pairs.select("a", "b"), 1), "check")
     ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
     need = written(sets.join(ends, "sid").select("sid", F.col("rep").alias("of")), "need")
     need = F.broadcast(need) if need.count() <= most_broadcast else need

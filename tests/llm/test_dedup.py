@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +108,31 @@ def test_linked(spark, n, num):
     assert got == want
 
 
+def test_linked_writes_few_files(spark):
+    """Many partitions of a few rows each don't become as many files."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(150):
+        text = rng.choices("abcdefghijklmnopqrstuvwxyz", k=40) if i % 3 == 0 else [*text[:-1], str(i)]
+        rows.append((i, " ".join(text)))
+    folder = Path(spark.conf.get("spark.checkpoint.dir")) / "kestrova"
+    before = set(folder.glob("*")) if folder.exists() else set()
+    settings = {"spark.sql.shuffle.partitions": "96", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = linked(documents(spark, rows), 3, 80, 100).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: r.component_id for r in found} == {i: i - i % 3 for i, _ in rows}
+    made = {x.name: len(list(x.glob("part-*"))) for x in set(folder.glob("*")) - before}
+    assert {"distinct", "met", "pairs", "sides", "named"} <= {x.rpartition("-")[0] for x in made}
+    most = {"distinct": 64, "met": 64}  # 16 a core; of the others, 4 at most
+    assert {k: n for k, n in made.items() if n > most.get(k.rpartition("-")[0], 16)} == {}
+
+
 def test_linked_nothing(spark):
     assert linked(documents(spark, [])).collect() == []
     assert [tuple(r) for r in linked(documents(spark, [(1, None)])).collect()] == [(1, 0, 1)]
